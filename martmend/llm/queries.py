@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, secrets, warc
+from . import bpe, langid, mixing, ngram, secrets, warc
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -22,6 +22,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), warc.page_of(F.col("refers_to_id")).alias("refers_to"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.join(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(RANKS))
     encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
@@ -65,6 +69,20 @@ select doc_id, source, text, copy_no,
 from e
 """
 
+OP2_SQL = """
+with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [list_aggregate(w, 'string_agg', ' ')]
+      else list_distinct([list_aggregate(w[i:i + 4], 'string_agg', ' ') for i in range(1, len(w) - 3)]) end as g from t),
+d as (select g, min(doc_id) as rep, len(g) as n from (select doc_id, list_sort(g) as g from s) where len(g) > 0 group by g),
+x as (select rep, n, unnest(g) as k from d),
+p as (select a.rep as a, b.rep as b from x a join x b on a.k = b.k and a.rep < b.rep group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e as (select a, b from p union select b, a from p union select rep, rep from d),
+r as (select a as v, b as c from e union select r.v, e.b from r join e on r.c = e.a),
+m as (select v, min(c) as c from r group by v)
+select s.doc_id, len(s.g)::bigint as n_shingles, coalesce(m.c, s.doc_id) as component_id
+from s left join d on list_sort(s.g) = d.g left join m on d.rep = m.v
+"""
+
 OP1_SQL = """
 with p as (select page_id, encode(coalesce(html, '')) as b from pages),
 d as (select page_id, octet_length(b) as n, sha1(b) as h from p),
@@ -79,8 +97,8 @@ from s
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_bpe, op5_secrets, op8_langid, op10_mixing)}
+    return {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_bpe, op5_secrets, op8_langid, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op10_mixing": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op2_ngram_join": OP2_SQL, "op10_mixing": OP10_SQL}
