@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, ngram, secrets, warc
+from . import bpe, langid, lines, mixing, ngram, secrets, warc
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -41,6 +41,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *number[:3], F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("s")).alias("spans"), number[3])
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.col("removed_lines").cast("long").alias("removed_lines"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = langid.held_out(F.col("doc_id"))
@@ -97,7 +101,7 @@ from s
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_bpe, op5_secrets, op8_langid, op10_mixing)}
+    return {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_bpe, op5_secrets, op6_line_dedup, op8_langid, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
