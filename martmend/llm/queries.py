@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, mixing, ngram, secrets, warc
+from . import bpe, langid, lines, mixing, ngram, pii, secrets, warc, winnow
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -33,6 +33,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), decoded.alias("decoded_sha256"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    number = [F.size(F.expr(f"filter(base, x -> x.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *number, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = docs.select("doc_id", secrets.find(F.col("text"), secrets.thresholds(docs)).alias("s"))
@@ -52,6 +58,12 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held.alias("held_out"), langid.classify(F.col("text"), model).alias("r")).select("doc_id", "held_out", "r.lang_pred", "r.score", "r.rejected")
 
 
+def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = winnow.with_neighbours(_table(spark, sf_dir, "documents")).withColumn("edited_marks", winnow.marks(F.col("edited")))
+    own, edited, following = (winnow.hashes(F.col(c)) for c in ("marks", "edited_marks", "next_marks"))
+    return near.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), winnow.fingerprint(F.col("marks")).alias("fingerprint"), winnow.fingerprint(F.col("edited_marks")).alias("edited_fingerprint"), winnow.likeness(own, edited).alias("near_edited"), winnow.likeness(own, following).alias("near_next"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.replicate(_table(spark, sf_dir, "documents"), seed=10)
     return mixing.shuffled(mixed).select("doc_id", "source", "text", "copy_no", "place")
@@ -101,7 +113,7 @@ from s
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_bpe, op5_secrets, op6_line_dedup, op8_langid, op10_mixing)}
+    return {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_bpe, op4_pii, op5_secrets, op6_line_dedup, op8_langid, op9_winnow, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
