@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, mixing, ngram, pii, secrets, warc, winnow
+from . import ann, bpe, langid, lines, mixing, ngram, pii, secrets, warc, winnow
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -51,6 +51,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.col("removed_lines").cast("long").alias("removed_lines"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = langid.held_out(F.col("doc_id"))
@@ -113,7 +117,7 @@ from s
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_bpe, op4_pii, op5_secrets, op6_line_dedup, op8_langid, op9_winnow, op10_mixing)}
+    return {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_bpe, op4_pii, op5_secrets, op6_line_dedup, op7_ann, op8_langid, op9_winnow, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
