@@ -7,14 +7,14 @@ result is exact up to collisions of 64-bit hashes.
    any order gives the same links, a good one fewer candidates.
 2. ``signatures`` gives each document the size and hash of its set, its prefix (the first shingles in that order, so many
    that two linked sets must share one) and a few minima of remixed prefix shingles. Equal sets are one set from here on.
-3. Groups: sets that share a minimum are compared with the smallest of them; linked ones form a group.
+3. Groups: sets that share a minimum are compared with the most common of them; linked ones form a group.
 4. The matrix has the shingles of the groups' prefixes. Groups that share a shingle, at places and with sizes that allow a
    link, are candidates; the pair of sets that share it is compared first, which joins most groups that belong together.
 5. For those still apart, each group's token union is stored as (group, token) rows. The overlap of a set with a union
    bounds its overlap with every member; only groups that reach the needed overlap are opened, and all their members of
    a possible size compared.
 
-No step gathers the rows of a key: hot minima and tokens are reduced to a smallest set or to distinct groups, and joins on
+No step gathers the rows of a key: hot minima and tokens are reduced to one set or to distinct groups, and joins on
 them are plain equi-joins whose hot partitions Spark splits. Links and components stay tables.
 
 Defined results: null, empty and blank texts have no shingles and stay alone; repeated rows and equal texts link (if not
@@ -84,20 +84,21 @@ def signatures(docs: DataFrame, levels: np.ndarray, doc_id: str = "doc_id", text
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
         for batch in batches:
-            n, sid, prefix, minima = [], [], [], []
+            n, sid, prefix, minima, common = [], [], [], [], []
             for s in sets(batch.column(1), words):
                 n.append(len(s))
                 if not len(s):
-                    sid.append(None), prefix.append(None), minima.append(None)
+                    sid.append(None), prefix.append(None), minima.append(None), common.append(None)
                     continue
                 sid.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63)
                 order = np.lexsort((s, table[(s >> shift).astype(np.int64)]))
                 first = s[order[: len(s) - int(need(len(s), percent)) + 1]]
                 prefix.append(first.view(np.int64))
+                common.append(float(table[(first >> shift).astype(np.int64)].mean()))
                 minima.append([int(mix(first ^ seed).view(np.int64).min()) for seed in seeds])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sid, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(minima, pa.list_(pa.int64()))], ["doc_id", "n", "sid", "prefix", "minima"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sid, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(minima, pa.list_(pa.int64())), pa.array(common, pa.float64())], ["doc_id", "n", "sid", "prefix", "minima", "common"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, "doc_id long, n int, sid long, prefix array<long>, minima array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, "doc_id long, n int, sid long, prefix array<long>, minima array<long>, common double")
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -141,10 +142,14 @@ def grouped(sids: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def minima_pairs(signed: DataFrame) -> DataFrame:
-    """(a, b): each set with the smallest set that shares one of its minima."""
-    keys = signed.where("n > 0").select("sid", F.posexplode("minima").alias("i", "m"))
-    smallest = keys.groupBy("i", "m").agg(F.min("sid").alias("b"), F.max("sid").alias("z")).where("b < z").select("i", "m", "b")
-    return keys.join(smallest, ["i", "m"]).where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
+    """(a, b): each set with the most common set that shares one of its minima.
+
+    Most common: with the highest mean level of its prefix. Among edited copies of a text that is the text itself, or the
+    copy with the fewest edits, to which most others link even where they do not link to one another.
+    """
+    keys = signed.where("n > 0").select("sid", "common", F.posexplode("minima").alias("i", "m"))
+    hubs = keys.groupBy("i", "m").agg(F.max_by("sid", F.struct("common", "sid")).alias("b"), F.min("sid").alias("y"), F.max("sid").alias("z")).where("y < z").select("i", "m", "b")
+    return keys.join(hubs, ["i", "m"]).where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
 
 
 def matrix_pairs(members: DataFrame, percent: int = PERCENT) -> DataFrame:
