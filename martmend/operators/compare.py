@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import union_all
+
 
 def one_row(*parts: DataFrame) -> DataFrame:
     """Aggregates of one row each, side by side."""
@@ -49,7 +51,7 @@ def compare_tables(actual: DataFrame, reference: DataFrame, key: str) -> DataFra
 def difference(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows of either side that the other lacks, with multiplicity."""
     after = after.select(*before.columns)
-    return before.exceptAll(after).unionByName(after.exceptAll(before))
+    return union_all(before.exceptAll(after), after.exceptAll(before))
 
 
 def changed_keys(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

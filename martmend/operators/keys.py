@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..functions.frames import union_all
 
 
 @dataclass(frozen=True)
@@ -79,7 +79,7 @@ def affected_entities(events: DataFrame, routes: dict[str, Route], tables: dict[
         found.append(keys.join(info, "event_id").select("entity_value", reason.alias("reason"), F.lit(0).alias("__late"), "__source_at", "position", F.lit(0).alias("__step")))
         prior = route_before_image(own).join(info, "event_id")
         found.append(prior.select("entity_value", scalars.before_image_reason(entity).alias("reason"), F.lit(late).alias("__late"), F.when(F.lit(late) == 1, F.lit(0)).otherwise(F.col("__source_at")).alias("__source_at"), "position", F.lit(1).alias("__step")))
-    rows = reduce(lambda a, b: a.unionByName(b), found)
+    rows = union_all(*found)
     rank = F.struct("__late", "__source_at", "position", "__step", "reason")
     return rows.groupBy("entity_value").agg(F.min_by("reason", rank).alias("reason"))
 
@@ -91,7 +91,7 @@ def affected_keys(event_keys: DataFrame | None = None, change_keys: DataFrame |
         raise ValueError("NO_CANDIDATES: neither events nor a definition change gave keys")
     name = name or parts[0][0].columns[0]
     frames = [df.select(F.col(df.columns[0]).alias(name)).where(F.col(name).isNotNull()).withColumn("origin", F.lit(origin)) for df, origin in parts]
-    return reduce(lambda a, b: a.unionByName(b), frames).distinct()
+    return union_all(*frames).distinct()
 
 
 def origin_counts(keys: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def origin_counts(keys: DataFrame) -> DataFrame:
 def merge_keys(*frames: DataFrame) -> DataFrame:
     """Distinct keys of several lists, each with the number of the first list that has it; blanks dropped."""
     parts = [df.select(scalars.blank_to_null(F.col(df.columns[0]).cast("string")).alias("entity_value"), F.lit(i).alias("first_list")) for i, df in enumerate(frames)]
-    return reduce(lambda a, b: a.unionByName(b), parts).where("entity_value is not null").groupBy("entity_value").agg(F.min("first_list").alias("first_list"))
+    return union_all(*parts).where("entity_value is not null").groupBy("entity_value").agg(F.min("first_list").alias("first_list"))
 
 
 def entity_rank(c: Column) -> list[Column]:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import union_all
 from .compare import compare_tables, count_of, one_row
 
 #: Fixed value: percent of entities from which a rebuild is recommended.
@@ -20,7 +21,7 @@ def rows_to_replace(mart: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def repaired(mart: DataFrame, head: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The mart without the rows of the keys, and the recomputed rows. Rows with a null key stay."""
     kept = mart.join(keys.select(F.col(keys.columns[0]).alias(key)).distinct(), key, "left_anti")
-    return kept.unionByName(head.select(*mart.columns))
+    return union_all(kept, head.select(*mart.columns))
 
 
 def verify_baseline(mart: DataFrame, old: DataFrame, key: str, pinned: Column | None = None) -> DataFrame:

@@ -6,13 +6,13 @@ whose filter decision flips, and is carried through joins up to the key.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import union_all
 from .spec import MartSpec, Unsupported, check_spec, equal, filtered
 
 COMPILED, NO_CHANGE, REBUILD = "COMPILED", "NO_CHANGE", "FULL_REBUILD_REQUIRED"
@@ -68,7 +68,7 @@ def having_flip_keys(df: DataFrame, key: str, aggregates: dict[str, Column | str
 def join_condition_changed_keys(left: DataFrame, right: DataFrame, old_on: tuple, new_on: tuple, key: str, left_id: str, right_id: str) -> DataFrame:
     """Keys of match pairs that only one of two equi-join conditions gives, and of left rows that gained or lost all matches with them."""
     pairs = [left.join(right, equal(on)).select(left_id, right_id) for on in (old_on, new_on)]
-    changed = pairs[0].exceptAll(pairs[1]).unionByName(pairs[1].exceptAll(pairs[0]))
+    changed = union_all(pairs[0].exceptAll(pairs[1]), pairs[1].exceptAll(pairs[0]))
     if key in left.columns:
         return left.join(changed, left_id, "left_semi").select(key).where(F.col(key).isNotNull()).distinct()
     return right.join(changed, right_id, "left_semi").select(key).where(F.col(key).isNotNull()).distinct()
@@ -107,7 +107,7 @@ def cover_left_from_right(left: DataFrame, cover: DataFrame, old_right: DataFram
     """
     reached = cover.select(*[F.col(b) for _, b in on]).dropna().distinct()
     hit = left.join(reached, equal(on), "left_semi")
-    return hit.join(old_right, equal(on), "left").unionByName(hit.join(new_right, equal(on), "left")).distinct()
+    return union_all(hit.join(old_right, equal(on), "left"), hit.join(new_right, equal(on), "left")).distinct()
 
 
 def terminal_keys(cover: DataFrame, key: str) -> DataFrame:
@@ -116,7 +116,7 @@ def terminal_keys(cover: DataFrame, key: str) -> DataFrame:
 
 def candidate_union(*keys: DataFrame) -> DataFrame:
     """Candidates of several changes; the columns are taken by place."""
-    return reduce(lambda a, b: a.union(b), keys).distinct()
+    return union_all(*keys, by_name=False).distinct()
 
 
 def candidate_keys(old: MartSpec, new: MartSpec, sources: dict[str, DataFrame]) -> Candidates:
@@ -163,7 +163,3 @@ def sources_key(spec: MartSpec, sources: dict[str, DataFrame]):
 def discovery_counts(flipped: DataFrame, key: str) -> DataFrame:
     """Source rows and distinct keys of a flip, in one pass."""
     return flipped.agg(F.count(F.lit(1)).alias("source_rows"), F.count_distinct(F.col(key)).alias("candidate_keys"))
-
-
-def all_keys(frames: Iterable[DataFrame]) -> DataFrame:
-    return candidate_union(*frames)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..functions.frames import union_all
 
 DELETE, KEY_CHANGE = "DELETE", "KEY_CHANGE"
 
@@ -70,7 +71,7 @@ def duplicates(events: DataFrame, history: DataFrame | None = None) -> DataFrame
     twice = events.groupBy("payload_fingerprint").count().where("count > 1").select("payload_fingerprint")
     if history is None:
         return twice
-    return twice.union(events.select("payload_fingerprint").join(history.select("payload_fingerprint"), "payload_fingerprint", "left_semi")).distinct()
+    return union_all(twice, events.select("payload_fingerprint").join(history.select("payload_fingerprint"), "payload_fingerprint", "left_semi")).distinct()
 
 
 def normalize_cdc(raw: DataFrame, stream: str, require: tuple[str, ...] = (DELETE, KEY_CHANGE), history: DataFrame | None = None) -> DataFrame:
