@@ -29,6 +29,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def union(a: DataFrame, *more: DataFrame) -> DataFrame:
+    """All rows. Spark 4.1's unions that keep their inputs' partitioning fail when adaptive execution coalesces these differently, so that is turned off."""
+    a.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    for b in more:
+        a = a.unionByName(b)
+    return a
+
+
 def let(value, body):
     """body(value) with value computed once: higher-order functions are interpreted, without sharing of subexpressions."""
     return F.element_at(F.transform(F.array(value), body), 1)

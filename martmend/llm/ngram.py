@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, union
 from .graph import components
 from .shingles import mix, sets
 
@@ -241,7 +241,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     held = fetch_sets(docs, near.select(F.col("a").alias("sid")).union(near.select("b")).distinct(), signed, **names)
     more = cut(compare(near.select("a", "b"), held, percent), "ngram-links")
     # Groups of which neither has more than one set are settled; the others may link through other members.
-    of = cut(grouped(sids, links.union(more)), "ngram-of")
+    of = cut(grouped(sids, union(links, more)), "ngram-of")
     old = cut(grouped(sids, links), "ngram-old")
     sizes = old.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     root = [of.select(F.col("sid").alias(f"g{x}"), F.col("g").alias(f"r{x}")) for x in "ab"]
@@ -251,7 +251,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     apart = cut(apart, "ngram-apart")
     if not apart.isEmpty():
         last = cut(open_groups(apart, old, docs, signed, percent, **names), "ngram-links")
-        of = cut(grouped(sids, links.union(more).union(last)), "ngram-of")
+        of = cut(grouped(sids, union(links, more, last)), "ngram-of")
     least = signed.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     named = of.select("sid", "g").join(least, "sid")
     whole = named.groupBy("g").agg(F.min("least").alias("component_id"))
