@@ -9,8 +9,9 @@ Flow, all in one stage without a shuffle:
 4. the codes are replaced by the ids of their words, batch by batch.
 
 While it is merged, a word is a string with one character for each piece: a byte is the character of its value, a merged
-piece the character of its rank plus 256 (see ``_sign``). The order of such characters is that of the ranks, so the least
-string of a word's pairs is the next merge. The literal map gives the merged piece of a pair; it is cut into buckets by
+piece the character of its rank plus 256 (see ``_sign``). The order of such characters is that of the ranks. A second string
+has the merged piece of each pair of neighbours: its least character is the next merge, the first place of it the leftmost
+one, and a merge changes two of its characters. The literal map gives the merged piece of a pair; it is cut into buckets by
 CRC-32, since Spark searches a map from end to end. Its size is that of the vocabulary file and does not grow with the data.
 
 Defined results: null and empty texts have no ids; words of over ``LONG_WORD`` bytes, for which the fold would take
@@ -39,8 +40,8 @@ BUCKETS = 65536
 LONG_WORD = 96
 #: Words of a batch, and distinct words of a task after which its dictionary begins anew.
 BATCH_WORDS, BOOK_WORDS = 1_500_000, 2_000_000
-#: Character that stands before a word when no pair of it can be merged.
-DONE = "\ue000"
+#: Character that stands for a pair that cannot be merged; it comes after all others.
+NONE = "\U0010ffff"
 #: The White_Space property of Unicode, which Java's \\s lacks.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -85,21 +86,34 @@ def merged_word(word: Column, table: Column) -> Column:
     """The word's pieces as characters after all merges: lowest rank first, leftmost among equals."""
 
     def lookup(pair: Column) -> Column:
-        return F.element_at(F.get(table, F.pmod(F.crc32(pair), F.lit(BUCKETS)).cast("int")), pair)
+        return F.coalesce(F.element_at(F.get(table, F.pmod(F.crc32(pair), F.lit(BUCKETS)).cast("int")), pair), F.lit(NONE))
 
-    def merges(s: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: let(F.substring(s, i, 2), lookup))
+    def ranked(s: Column) -> Column:
+        """One character for each pair of neighbours: the merged piece, or NONE."""
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: lookup(F.substring(s, i, 2))), "")
 
-    def merge(s: Column, found: Column, least: Column) -> Column:
-        at = F.array_position(found, least).cast("int")
-        return F.when(least.isNull(), F.concat(F.lit(DONE), s)).otherwise(let(at, lambda k: F.concat(F.substring(s, F.lit(1), k - 1), least, F.substring(s, k + 2, F.lit(LONG_WORD)))))
+    def merge(state: Column, least: Column, at: Column) -> Column:
+        s, r = state["s"], state["r"]
 
-    def step(s: Column, _: Column) -> Column:
-        over = F.startswith(s, F.lit(DONE)) | (F.length(s) < 2)
-        return F.when(over, s).otherwise(let(merges(s), lambda found: let(F.array_min(found), lambda least: merge(s, found, least))))
+        def joined(t: Column) -> Column:
+            left = F.when(at > 1, lookup(F.substring(t, at - 1, 2))).otherwise("")
+            right = F.when(F.length(t) > at, lookup(F.substring(t, at, 2))).otherwise("")
+            return F.struct(t.alias("s"), F.concat(F.substring(r, F.lit(1), at - 2), left, right, F.substring(r, at + 2, F.lit(LONG_WORD))).alias("r"))
 
-    start = F.decode(F.encode(word, "utf-8"), "iso-8859-1")
-    return F.when(F.octet_length(word) > LONG_WORD, F.lit("")).otherwise(F.ltrim(F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start, step), F.lit(DONE)))
+        return let(F.concat(F.substring(s, F.lit(1), at - 1), least, F.substring(s, at + 2, F.lit(LONG_WORD))), joined)
+
+    def step(state: Column, _: Column) -> Column:
+        def next_merge(least: Column) -> Column:
+            return F.when((least == NONE) | (least == ""), state).otherwise(let(F.instr(state["r"], least), lambda at: merge(state, least, at)))
+
+        return let(F.array_min(F.split(state["r"], "")), next_merge)
+
+    def fold(s: Column) -> Column:
+        start = F.struct(s.alias("s"), ranked(s).alias("r"))
+        return F.aggregate(F.sequence(F.lit(2), F.length(s)), start, step)["s"]
+
+    whole = let(F.decode(F.encode(word, "utf-8"), "iso-8859-1"), lambda s: F.when(F.length(s) < 2, s).otherwise(fold(s)))
+    return F.when(F.octet_length(word) > LONG_WORD, F.lit("")).otherwise(whole)
 
 
 def heap_ids(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
