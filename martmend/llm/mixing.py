@@ -8,7 +8,8 @@ broadcasts it only if it is small.
 
 Defined results: a null source is a source of its own; sources without a target get weight 1 (0 drops a source);
 documents are told apart by id and, for repeated or null ids, also by text, so equal rows are replicated alike; an empty
-table stays empty. Rates of over ``WHOLE`` are split into a whole number of copies and a Poisson number for the rest.
+table stays empty. A mean of ``MOST`` or more is cut into equal parts below it, and the count is the sum of a Poisson number
+for each, drawn from a hash of its own, which is Poisson with the whole mean.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import free_name
 
-#: Largest mean that is inverted, and the terms that hold its distribution to double precision.
-WHOLE, TERMS = 8, 64
+#: Means below this are inverted at once; the terms hold their distribution to double precision.
+MOST, TERMS = 9, 64
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -42,7 +43,7 @@ def cumulated(terms: Column) -> Column:
 
 
 def rates(docs: DataFrame, source: str, weights: dict[str, float] | None, size: float = 1.0) -> DataFrame:
-    """Source, its mean number of copies, and the distribution's sums. size: rows out for each row in."""
+    """Source, its mean number of copies, the parts of the mean, and the sums of a part's distribution. size: rows out for each row in."""
     per = docs.groupBy(F.col(source).alias("mix_source")).agg(F.count(F.lit(1)).alias("n"))
     weight = F.lit(1.0)
     for name, w in (weights or {}).items():
@@ -51,8 +52,8 @@ def rates(docs: DataFrame, source: str, weights: dict[str, float] | None, size:
     total = per.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
     unit = float(size * total.n / total.w) if total.w else 0.0
     per = per.withColumn("mean", F.lit(unit) * F.col("w") / F.col("n"))
-    whole = F.floor(F.greatest(F.lit(0.0), F.col("mean") - WHOLE))
-    return per.select("mix_source", "mean", whole.alias("whole"), cumulated(poisson_terms(F.col("mean") - whole)).alias("sums"))
+    parts = F.floor(F.col("mean") / MOST).cast("int") + 1
+    return per.select("mix_source", "mean", parts.alias("parts"), cumulated(poisson_terms(F.col("mean") / parts)).alias("sums"))
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 0, size: float = 1.0, doc_id: str = "doc_id", source: str = "source", text: str = "text", copy: str = "copy_no", place: str = "place") -> DataFrame:
@@ -61,7 +62,9 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, seed: in
     per = rates(docs, source, weights, size)
     u = free_name(docs, "u_")
     drawn = docs.withColumn(u, uniform(seed, *key)).join(per, F.col(source).eqNullSafe(F.col("mix_source")), "inner")
-    count = (F.col("whole") + F.size(F.filter("sums", lambda s: s <= F.col(u)))).cast("int")
+    more = F.transform(F.sequence(F.lit(2), F.col("parts")), lambda i: uniform(seed, *key, F.concat(F.lit("part "), i.cast("string"))))
+    draws = F.when(F.col("parts") == 1, F.array(u)).otherwise(F.concat(F.array(u), more))
+    count = F.aggregate(draws, F.lit(0), lambda n, x: n + F.size(F.filter("sums", lambda s: s <= x)))
     out = drawn.where(count > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), count)).alias(copy))
     return out.withColumn(place, uniform(seed + 1, *key, F.col(copy)))
 

@@ -156,3 +156,10 @@ def test_queries_equal_sql(spark, name):
     got = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
     want = sorted(con.execute(f"select {', '.join(cols)} from ({queries.oracle_sql()[name]})").fetchall(), key=repr)
     assert got == want
+
+
+def test_mixing_draws_the_whole_mean(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("a").alias("source"))
+    mixed = mixing.replicate(docs, seed=5, size=200.0)
+    got = mixed.groupBy("doc_id").count().agg(F.avg("count").alias("mean"), F.var_samp("count").alias("variance")).first()
+    assert abs(got["mean"] - 200) < 4 and 140 < got["variance"] < 270  # Poisson with mean 200; deviations 0.7 and 14
