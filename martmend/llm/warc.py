@@ -2,7 +2,8 @@
 
 Reader: it walks an archive member by member (or record by record where it is not compressed) and checks each: the
 member's CRC, the version line, the length, the closing blank lines and, where given, the block digest. After a failed
-check it searches for the next valid member or version line, goes on from there, and logs the bytes between as a gap.
+check it searches for the next valid member or version line, goes on from there, and logs the bytes between as a gap. Inside a
+member whose CRC is right it does the same in the content; such a gap names the content's bytes, as its place is the member's.
 
 Writer: ``write`` makes one folder of archives for each task; a task writes under a name of its own and renames the
 folder when it is complete, so a lost or repeated task leaves no partial archive under ``part-*``. Archives are rolled
@@ -150,6 +151,31 @@ def read_record(data: bytes, at: int) -> tuple[dict, bytes, int] | str:
     return head, block, end + 4
 
 
+def salvage_content(content: bytes) -> tuple[list[tuple], str]:
+    """(headers, block, None) of each record in a member's content and (None, None, reason) of each gap, in order; nothing but
+    a reason if there is no record."""
+    found, at, gap, why, records = [], 0, None, "empty", 0
+    while at < len(content):
+        got = read_record(content, at)
+        if isinstance(got, str):
+            if gap is None:
+                gap, why = at, got
+            at = content.find(b"WARC/1.", at + 1)
+            if at < 0:
+                break
+            continue
+        if gap is not None:
+            found.append((None, None, f"{why} (content bytes {gap} to {at})"))
+            gap = None
+        found.append((got[0], got[1], None))
+        records, at = records + 1, got[2]
+    if not records:
+        return [], why
+    if gap is not None:
+        found.append((None, None, f"{why} (content bytes {gap} to {len(content)})"))
+    return found, ""
+
+
 def salvage(data: bytes) -> Iterator[tuple]:
     """(begin, end, headers, block, None) of each record and (begin, end, None, None, reason) of each gap, in order."""
     view, at, gap, why = memoryview(data), 0, None, ""
@@ -166,21 +192,13 @@ def salvage(data: bytes) -> Iterator[tuple]:
                 reason = "gzip"
             else:
                 content, end = member
-                inner = 0
-                while inner < len(content) and not reason:
-                    got = read_record(content, inner)
-                    if isinstance(got, str):
-                        reason = got
-                    else:
-                        found.append(got)
-                        inner = got[2]
-                reason = reason or ("" if found else "empty")
+                found, reason = salvage_content(content)
         else:
             got = read_record(data, at)
             if isinstance(got, str):
                 reason = got
             else:
-                found, end = [got], got[2]
+                found, end = [(got[0], got[1], None)], got[2]
         if reason and not found:
             if gap is None:
                 gap, why = at, reason
@@ -189,10 +207,8 @@ def salvage(data: bytes) -> Iterator[tuple]:
         if gap is not None:
             yield gap, at, None, None, why
             gap = None
-        for head, block, _ in found:
-            yield at, end, head, block, None
-        if reason:  # the rest of a member whose first records were sound
-            yield at, end, None, None, reason
+        for head, block, lost in found:
+            yield at, end, head, block, lost
         at = end
     if gap is not None:
         yield gap, len(data), None, None, why

@@ -72,3 +72,16 @@ def test_whole_payloads_come_back(spark):
     back = warc.archived_pages(spark, pages).where("warc_type = 'response'").select(warc.page_of(F.col("record_id")).alias("page_id"), F.col("payload").cast("string").alias("html"))
     assert back.exceptAll(pages.select("page_id", "html")).count() == 0
     assert queries.op1_warc(spark, "/root/testdata/sf0.001").count() == pages.count()
+
+
+def test_records_after_a_bad_one_in_a_member_are_found():
+    parts = records()
+    for bad in ({0}, {2}, {0, 1, 4}, {5}):
+        for damage in (lambda r: r.replace(b"payload", b"Payload", 1), lambda r: r.replace(b"Content-Length: ", b"Content-Length: 9")):
+            content = b"".join(damage(r) if i in bad else r for i, r in enumerate(parts))
+            data = warc.gzip_member(content) + warc.gzip_member(warc.make_record("u", "last", b"x", None))
+            assert ids(data) == [warc.record_id(i, 0) for i in range(6) if i not in bad] + ["last"]
+            lost = [tuple(map(int, x[2].split("bytes ")[1].rstrip(")").split(" to "))) for x in gaps(data)]
+            starts = [sum(map(len, parts[:i])) for i in range(7)]
+            shift = len(content) - starts[-1]
+            assert sum(b - a for a, b in lost) == sum(len(parts[i]) for i in bad) + shift
