@@ -4,17 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import text_fingerprint
+from .workspace import Workspace, shared_base
 
 
-def closure(edges: DataFrame, start: list[str], direction: str = "down", limit: int = 1000) -> DataFrame:
-    """node: all nodes reachable from start over edges (parent, child), start itself left out unless on a cycle."""
+def closure(edges: DataFrame, start: list[str], direction: str = "down") -> DataFrame:
+    """node: all nodes reachable from start over edges (parent, child), start itself left out unless on a cycle.
+
+    Each round follows the edges of the nodes that the round before found and keeps those not reached yet, until there are none."""
     a, b = ("parent", "child") if direction == "down" else ("child", "parent")
-    edges.createOrReplaceTempView("__edges")
     spark = edges.sparkSession
-    begin = " union all ".join(f"select '{s}' as s" for s in start)
-    return spark.sql(f"with recursive r(node) as (select {b} from __edges where {a} in ({begin}) union all select e.{b} from __edges e join r on e.{a} = r.node) select distinct node from r limit {limit * 1000}")
+    work = Workspace(spark, shared_base(spark))
+    steps = edges.select(F.col(a).alias("from_"), F.col(b).alias("node"))
+    schema = T.StructType([T.StructField("node", steps.schema["node"].dataType)])
+
+    def reached(rounds: int) -> DataFrame:
+        return spark.read.schema(schema).parquet(*[f"{work.path}/{i}" for i in range(rounds)])
+
+    found = work.put("0", steps.where(F.col("from_").isin(list(start))).select("node").where("node is not null").distinct())
+    rounds = 1
+    while not found.isEmpty():
+        following = steps.join(found.withColumnRenamed("node", "from_"), "from_", "left_semi").select("node").where("node is not null").distinct()
+        found = work.put(str(rounds), following.join(reached(rounds), "node", "left_anti"))
+        rounds += 1
+    return reached(rounds)
 
 
 def catalog_fingerprint(df: DataFrame, key: str, fingerprint: str) -> DataFrame:

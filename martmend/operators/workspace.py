@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_base(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, the folder that driver and executors share, or a local one where that is unset (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (found or "file://" + tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+
+
 class Workspace:
     """``with Workspace(spark, base) as ws: df = ws.put("keys", df)``: tables in a folder of this run, removed at the end,
     after success and failure alike. Removal is tried three times; if it fails, so does the run."""

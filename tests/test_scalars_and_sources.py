@@ -110,3 +110,12 @@ def test_lineage_and_checks(spark, tmp_path):
     got = {r.run_id: (r.evidence, r.status) for r in checks.summarize_checks(spark.createDataFrame(rows, "run_id string, test_name string, status string")).collect()}
     assert got == {"a": ("empirically_validated", "passed"), "b": ("aggregates", "passed"), "c": ("none", "passed"), "d": ("none", "failed"), "e": ("aggregates", "passed")}
     assert lineage.route_text((("a", "x"), ("b", "y"))) == "a.x -> b.y"
+
+
+def test_closure_has_no_limit_and_bears_cycles(spark):
+    wide = spark.range(1_000_100).selectExpr("'r' as parent", "concat('n', id) as child")
+    assert lineage.closure(wide, ["r"]).count() == 1_000_100
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "parent string, child string")
+    assert sorted(r.node for r in lineage.closure(ring, ["a"]).collect()) == ["a", "b", "c", "d"]
+    assert sorted(r.node for r in lineage.closure(ring, ["d"], "up").collect()) == ["a", "b", "c"]
+    assert lineage.closure(ring, ["d"]).count() == 0
