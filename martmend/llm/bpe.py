@@ -1,12 +1,15 @@
 """Byte-level BPE (operator 3): ranked merges folded by higher-order functions over the distinct words.
 
-Flow, all in one stage without a shuffle:
+Flow:
 
-1. the JVM splits each text into words by the tokenizer's pattern;
-2. a task's rows are dictionary-encoded: each row keeps codes, the first row of a batch carries the words that are new in
-   the task and are no token as a whole;
-3. the JVM folds the ranked merges over the bytes of those distinct words, looking pairs up in a literal map;
-4. the codes are replaced by the ids of their words, batch by batch.
+1. the distinct words of a bounded sample of rows (``SAMPLE_ROWS``, at most ``COMMON_WORDS`` words) are folded once, as one
+   table, and handed to the tasks together with the words that are tokens as a whole. This list only spares work: ids do
+   not depend on it;
+2. in one stage without a shuffle, the JVM splits each text into words by the tokenizer's pattern;
+3. a task's rows are dictionary-encoded: each row keeps codes, the first row of a batch carries the words that are new in
+   the task and not in the list;
+4. the JVM folds the ranked merges over the bytes of those distinct words, looking pairs up in a literal map;
+5. the codes are replaced by the ids of their words, batch by batch.
 
 While it is merged, a word is a string with one character for each piece: a byte is the character of its value, a merged
 piece the character of its rank plus 256 (see ``_sign``). The order of such characters is that of the ranks. A second string
@@ -15,7 +18,7 @@ one, and a merge changes two of its characters. The literal map gives the merged
 CRC-32, since Spark searches a map from end to end. Its size is that of the vocabulary file and does not grow with the data.
 
 Defined results: null and empty texts have no ids; words of over ``LONG_WORD`` bytes, for which the fold would take
-quadratic time, are merged by a heap in the same Python step that replaces the codes; other columns are kept as they
+quadratic time, are merged by a heap in the same Python step that replaces the codes, to the same ids; other columns are kept as they
 are, and a column that has the result's name is replaced.
 """
 
@@ -29,17 +32,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, let
+from .common import cut, free_name, let
 
 BUCKETS = 65536
 #: Bytes of a word beyond which the heap is used.
-LONG_WORD = 96
-#: Words of a batch, and distinct words of a task after which its dictionary begins anew.
-BATCH_WORDS, BOOK_WORDS = 1_500_000, 2_000_000
+LONG_WORD = 512
+#: Words that are numbered at once, words that are replaced at once, and distinct words of a task after which its dictionary begins anew.
+BATCH_WORDS, PART_WORDS, BOOK_WORDS = 2_000_000, 250_000, 500_000
+#: The list of common words: rows that it is taken from, most words, most bytes of a word, rows in which they are folded.
+SAMPLE_ROWS, COMMON_WORDS, COMMON_BYTES, COMMON_GROUPS = 24_000, 1_000_000, 64, 16
 #: Character that stands for a pair that cannot be merged; it comes after all others.
 NONE = "\U0010ffff"
 #: The White_Space property of Unicode, which Java's \\s lacks.
@@ -75,10 +81,10 @@ def merge_map(ranks: dict[bytes, int]) -> str:
 
 
 def piece_list(ranks: dict[bytes, int]) -> Column:
-    """Literal array, rank to piece in hexadecimal."""
+    """Literal array, rank to piece with one character for each byte."""
     pieces = [""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece.hex().upper()
+        pieces[rank] = piece.decode("latin-1")
     return F.from_json(F.lit(json.dumps(pieces)), "array<string>")
 
 
@@ -144,99 +150,142 @@ def _list_parts(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
     return np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64), column.flatten()
 
 
+def _cuts(lengths: np.ndarray, most: int, also: set[int] | None = None) -> list[tuple[int, int]]:
+    """Bounds of parts that hold about ``most`` words each; a part begins at each row of also, too."""
+    at = np.searchsorted(np.cumsum(lengths), np.arange(most, lengths.sum(), most)) + 1
+    bounds = sorted({0, len(lengths), *at.tolist(), *(also or ())})
+    return list(zip(bounds, bounds[1:], strict=False))
+
+
 def _starts(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
 
 class _Book:
-    """Ids of the words of a task, by their codes."""
+    """Ids of words by their codes: the common words first, then those of a task."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks, self.first, self.values = ranks, np.zeros(1, np.int64), np.zeros(0, np.int32)
+    def __init__(self, ranks: dict[bytes, int], common: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        self.ranks = ranks
+        self.first, self.values = common or (np.zeros(1, np.int64), np.zeros(0, np.int32))
         self.of_byte = np.array([ranks.get(bytes([b]), 0) for b in range(256)], np.int32)
 
-    def add(self, words: list[str], merged: list[str]) -> None:
-        parts = [np.frombuffer(m.encode("utf-32-le"), np.int32) for m in merged]
-        for i, (word, m) in enumerate(zip(words, merged, strict=True)):
-            if not m:
-                piece = word.encode()
-                parts[i] = np.array([self.ranks[piece]] if piece in self.ranks else heap_ids(piece, self.ranks), np.int32) + 65536 * 32
-        flat = np.concatenate([np.zeros(0, np.int32), *parts])
-        ids = np.where(flat >= 65536 * 32, flat - 65536 * 32, np.where(flat < 256, self.of_byte[np.minimum(flat, 255)], np.where(flat < 0xD800, flat - 256, flat - 0x2900)))
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(p) for p in parts], dtype=np.int64)])
-        self.values = np.concatenate([self.values, ids.astype(np.int32)])
+    def add(self, words: pa.StringArray, merged: pa.StringArray) -> None:
+        size = pc.utf8_length(merged).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = np.frombuffer("".join(merged.to_pylist()).encode("utf-32-le"), np.int32)
+        ids = np.where(flat < 256, self.of_byte[np.minimum(flat, 255)], np.where(flat < 0xD800, flat - 256, flat - 0x2900)).astype(np.int32)
+        for i in np.flatnonzero(size == 0).tolist():  # words that the fold leaves to the heap
+            long = np.array(heap_ids(words[i].as_py().encode(), self.ranks), np.int32)
+            at = int(size[:i].sum())
+            ids, size[i] = np.concatenate([ids[:at], long, ids[at:]]), len(long)
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
+        self.values = np.concatenate([self.values, ids])
 
     def ids(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each code, and all their ids in order."""
         size = self.first[codes + 1] - self.first[codes]
-        return size, self.values[np.repeat(self.first[codes] - _starts(size)[:-1], size) + np.arange(size.sum())]
+        at = np.repeat((self.first[codes] - _starts(size)[:-1]).astype(np.int32), size)
+        return size, self.values[at + np.arange(len(at), dtype=np.int32)]
+
+
+def split_words(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
+
+
+def folded(df: DataFrame, ranks: dict[bytes, int], news: str, merged: str) -> DataFrame:
+    """df with merged: the words of the array column news after all merges; the map is read once for each row that has words."""
+    # The map is one literal string: as a folded literal of 65,536 maps it would take each task seconds to deserialize. The
+    # empty repetition keeps the optimizer from folding it.
+    table = F.from_json(F.concat(F.lit(merge_map(ranks)), F.repeat(F.lit(" "), F.size(news) * 0)), "array<map<string,string>>")
+    return df.withColumn(merged, F.when(F.size(news) > 0, let(table, lambda t: F.transform(news, lambda w: merged_word(w, t)))).otherwise(F.array().cast("array<string>")))
+
+
+def common_words(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """Words and, by their place, the bounds and values of their ids: tokens, and words of the rows with the least hashes."""
+    tokens = []
+    for piece in ranks:
+        try:
+            tokens.append(piece.decode())
+        except UnicodeDecodeError:
+            continue
+    share = SAMPLE_ROWS / max(1, df.count())
+    sample = df.where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(1_000_000 * share) + 1).select(F.explode(split_words(F.col(text), pattern)).alias("w"))
+    words = cut(sample.where(F.octet_length("w") <= COMMON_BYTES).groupBy("w").count(), "bpe-words")
+    sizes, least, total = {r.c: r.n for r in words.groupBy(F.least("count", F.lit(1000)).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}, 1001, 0
+    for c in sorted(sizes, reverse=True):
+        total += sizes[c]
+        if total > COMMON_WORDS:
+            break
+        least = c
+    groups = words.where(F.col("count") >= least).groupBy(F.pmod(F.xxhash64("w"), F.lit(COMMON_GROUPS)).alias("g")).agg(F.collect_list("w").alias("news"))
+    found = folded(groups, ranks, "news", "merged").select("news", "merged").toArrow()
+    news, merged = (pc.list_flatten(found.column(c)).combine_chunks().cast(pa.string()) for c in ("news", "merged"))
+    known = pa.array(tokens, pa.string())
+    other = pc.invert(pc.is_in(news, value_set=known))
+    news, merged = news.filter(other), merged.filter(other)
+    book = _Book(ranks, (np.arange(len(tokens) + 1, dtype=np.int64), np.array([ranks[t.encode()] for t in tokens], np.int32)))
+    book.add(news, merged)
+    return pa.concat_arrays([known, news]), book.first, book.values
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with the array column ids: the token ids of each whole text, without special tokens."""
-    words, codes, news, whole, merged = (free_name(df, x) for x in ("words_", "codes_", "news_", "whole_", "merged_"))
+    words, codes, news, merged = (free_name(df, x) for x in ("words_", "codes_", "news_", "merged_"))
     kept = [f for f in df.schema.fields if f.name.lower() != ids.lower()]
     names = [f.name for f in kept]
     k = len(names)
+    shared = df.sparkSession.sparkContext.broadcast(common_words(df, ranks, pattern, text))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Codes instead of words; ``news`` and ``whole``: new words that must be merged, or are tokens; a null in ``news`` begins a dictionary anew."""
+        """Codes instead of words; ``news``: new words that must be merged; a null among them begins a dictionary anew."""
+        common = shared.value[0]
         seen: dict[str, int] = {}
         for batch in batches:
             lengths, _ = _list_parts(batch.column(k))
-            cuts = (np.searchsorted(np.cumsum(lengths), np.arange(BATCH_WORDS, lengths.sum(), BATCH_WORDS)) + 1).tolist()
-            for a, b in zip([0, *cuts], [*cuts, len(lengths)], strict=True):
-                if a >= b:
-                    continue
+            for a, b in _cuts(lengths, BATCH_WORDS):
                 part = batch.slice(a, b - a)
                 n, flat = _list_parts(part.column(k))
                 coded = flat.dictionary_encode()
-                own = coded.dictionary.to_pylist()
-                anew = len(seen) > BOOK_WORDS
-                if anew:
-                    seen = {}
-                fresh = [w for w in own if w not in seen]
-                tokens = [w for w in fresh if w.encode() in ranks]
-                fresh = [w for w in fresh if w.encode() not in ranks]
-                for w in (*tokens, *fresh):
-                    seen[w] = len(seen)
-                table = np.fromiter((seen[w] for w in own), np.int32, len(own))
-                mine = table[coded.indices.to_numpy()] if own else np.zeros(0, np.int32)
-                rest = [[]] * (b - a - 1)
-                yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.ListArray.from_arrays(pa.array(_starts(n), pa.int32()), pa.array(mine)), pa.array([fresh, *rest], pa.list_(pa.string())), pa.array([[*[None] * anew, *tokens], *rest], pa.list_(pa.string()))], [*names, codes, news, whole])
+                table = pc.fill_null(pc.index_in(coded.dictionary, value_set=common), -1).to_numpy(zero_copy_only=False).copy()
+                other = np.flatnonzero(table < 0)
+                own = coded.dictionary.take(pa.array(other)).to_pylist()
+                fresh: list[str | None] = []
+                if len(seen) > BOOK_WORDS:
+                    seen, fresh = {}, [None]
+                for w in own:
+                    if w not in seen:
+                        seen[w] = len(common) + len(seen)
+                        fresh.append(w)
+                table[other] = np.fromiter((seen[w] for w in own), np.int32, len(own))
+                mine = table[coded.indices.to_numpy()] if len(table) else np.zeros(0, np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.ListArray.from_arrays(pa.array(_starts(n), pa.int32()), pa.array(mine, pa.int32())), pa.array([fresh, *[[]] * (b - a - 1)], pa.list_(pa.string()))], [*names, codes, news])
+                del part, flat, coded, mine, table, own
+            pa.default_memory_pool().release_unused()
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = _Book(ranks)
+        common = shared.value[1:]
+        book = _Book(ranks, common)
         for batch in batches:
             n, flat = _list_parts(batch.column(k))
             flat, ends = flat.to_numpy(), _starts(n)
-            fresh, tokens, done = (batch.column(k + i) for i in (1, 2, 3))
-            begins = np.flatnonzero(_list_parts(fresh)[0] + _list_parts(tokens)[0]).tolist()
-            out_n, out_ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-            for a, b in zip([0, *begins], [*begins, len(n)], strict=True):
-                if a in begins and b > a:
-                    whole_words = tokens[a].as_py()
-                    if whole_words[:1] == [None]:
-                        book, whole_words = _Book(ranks), whole_words[1:]
-                    book.add(whole_words, [""] * len(whole_words))
-                    book.add(fresh[a].as_py(), done[a].as_py())
+            fresh, done = batch.column(k + 1), batch.column(k + 2)
+            begins = {*np.flatnonzero(_list_parts(fresh)[0]).tolist()}
+            for a, b in _cuts(n, PART_WORDS, begins):
+                if a in begins:
+                    new, pieces = fresh[a].values, done[a].values
+                    if not new[0].is_valid:
+                        book, new, pieces = _Book(ranks, common), new[1:], pieces[1:]
+                    book.add(new, pieces)
                 size, values = book.ids(flat[ends[a] : ends[b]])
                 total = _starts(size)
-                out_n.append(total[ends[a + 1 : b + 1] - ends[a]] - total[ends[a:b] - ends[a]])
-                out_ids.append(values)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.ListArray.from_arrays(pa.array(_starts(np.concatenate(out_n)), pa.int32()), pa.array(np.concatenate(out_ids), pa.int32()))], [*names, ids])
+                out = total[ends[a : b + 1] - ends[a]]
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:k]), pa.ListArray.from_arrays(pa.array(out, pa.int32()), pa.array(values, pa.int32()))], [*names, ids])
+            pa.default_memory_pool().release_unused()
 
-    # The map is one literal string, read once for each row that has new words: as a folded literal of 65,536 maps it
-    # would take each task seconds to deserialize. The empty repetition keeps the optimizer from folding it.
-    table = F.from_json(F.concat(F.lit(merge_map(ranks)), F.repeat(F.lit(" "), F.size(news) * 0)), "array<map<string,string>>")
-    strings = T.ArrayType(T.StringType())
-    split = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
-    numbered = df.select(*names, split.alias(words)).mapInArrow(number, T.StructType([*kept, T.StructField(codes, T.ArrayType(T.IntegerType())), T.StructField(news, strings), T.StructField(whole, strings)]))
-    encoded = numbered.withColumn(merged, F.when(F.size(news) > 0, let(table, lambda t: F.transform(news, lambda w: merged_word(w, t)))).otherwise(F.array().cast("array<string>")))
-    return encoded.mapInArrow(replace, T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    numbered = df.select(*names, split_words(F.col(text), pattern).alias(words)).mapInArrow(number, T.StructType([*kept, T.StructField(codes, T.ArrayType(T.IntegerType())), T.StructField(news, T.ArrayType(T.StringType()))]))
+    return folded(numbered, ranks, news, merged).mapInArrow(replace, T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     """The bytes of the ids: their pieces, one after another (null: null)."""
     pieces = piece_list(ranks)
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""), "iso-8859-1")

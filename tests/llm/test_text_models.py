@@ -1,5 +1,6 @@
 """Operators 2, 3, 8 and 10 against plain versions."""
 
+import hashlib
 import random
 import re
 
@@ -163,3 +164,22 @@ def test_mixing_draws_the_whole_mean(spark):
     mixed = mixing.replicate(docs, seed=5, size=200.0)
     got = mixed.groupBy("doc_id").count().agg(F.avg("count").alias("mean"), F.var_samp("count").alias("variance")).first()
     assert abs(got["mean"] - 200) < 4 and 140 < got["variance"] < 270  # Poisson with mean 200; deviations 0.7 and 14
+
+
+def test_op3_query_equals_tiktoken(spark, ranks):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for r in docs:
+        ids = plain.encode_ordinary(r.text or "")
+        want[r.doc_id] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op3_bpe(spark, "/root/testdata/sf0.001").collect()}
+    assert got == want
+
+
+def test_bpe_list_of_common_words_changes_no_ids(spark, ranks, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    whole = {r.doc_id: r.ids for r in bpe.encode(docs, ranks, public_tokenizers.PATTERN).collect()}
+    monkeypatch.setattr(bpe, "SAMPLE_ROWS", 10)
+    monkeypatch.setattr(bpe, "COMMON_WORDS", 50)
+    assert {r.doc_id: r.ids for r in bpe.encode(docs, ranks, public_tokenizers.PATTERN).collect()} == whole
