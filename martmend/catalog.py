@@ -261,11 +261,11 @@ def targeted_head(spark, path):
     return spec.targeted(left_mart(NEW), src, found)
 
 
-_EVENT_KEYS = "(select distinct o_custkey as c_custkey from orders where o_orderkey % 97 = 0)"
+_EVENT_KEYS = "(select distinct o_custkey as c_custkey from orders where o_orderstatus = 'P')"
 
 
 def _origins(spark, path):
-    event_keys = Tables(spark, path)["orders"].where("o_orderkey % 97 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    event_keys = Tables(spark, path)["orders"].where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return keys.affected_keys(event_keys, _left(spark, path)[1])
 
 
@@ -382,18 +382,18 @@ def fallback_proofs(spark, path):
 
 # ---------------------------------------------------------------- events
 #: Change events derived from the tables: customers (direct), orders (same row), line items (two hops).
-_EVENTS_SQL = """(select 'c' || c_custkey as event_id, 'customer' as source_model, c_custkey::varchar as entity_value, case when c_custkey % 202 = 0 then (c_custkey + 1)::varchar end as prior_entity_value, c_custkey as position from customer where c_custkey % 101 = 0
-union all select 'o' || o_orderkey, 'orders', o_orderkey::varchar, case when o_orderkey % 194 = 0 then ((o_custkey + 1) % (select count(*) from customer))::varchar end, 10000000000 + o_orderkey from orders where o_orderkey % 97 = 0
-union all select 'l' || l_orderkey || '.' || l_linenumber, 'lineitem', l_orderkey::varchar, null, 20000000000 + l_orderkey * 10 + l_linenumber from lineitem where l_orderkey % 499 = 0)"""
+_EVENTS_SQL = """(select 'c' || c_custkey as event_id, 'customer' as source_model, c_custkey::varchar as entity_value, case when c_custkey % 2 = 0 then (c_custkey + 1)::varchar end as prior_entity_value, c_custkey as position from customer
+union all select 'o' || o_orderkey, 'orders', o_orderkey::varchar, case when o_orderkey % 2 = 0 then ((o_custkey + 1) % (select count(*) from customer))::varchar end, 10000000000 + o_orderkey from orders
+union all select 'l' || l_orderkey || '.' || l_linenumber, 'lineitem', l_orderkey::varchar, null, 20000000000 + l_orderkey * 10 + l_linenumber from lineitem)"""
 ROUTES = {"customer": keys.Route("direct", "c_custkey"), "orders": keys.Route("same_row", "order_id", (("orders_by_id", "order_id"),)), "lineitem": keys.Route("path", "line_id", (("lineitem", "l_orderkey"), ("orders", "o_orderkey"), ("orders", "o_custkey"), ("customer", "c_custkey")))}
 
 
 def change_feed(spark, path) -> DataFrame:
     t = Tables(spark, path)
     n = t["customer"].agg(F.count(F.lit(1)).alias("n_customers"))
-    c = t["customer"].where("c_custkey % 101 = 0").selectExpr("concat('c', c_custkey) as event_id", "'customer' as source_model", "cast(c_custkey as string) as entity_value", "if(c_custkey % 202 = 0, cast(c_custkey + 1 as string), null) as prior_entity_value", "c_custkey as position")
-    o = t["orders"].where("o_orderkey % 97 = 0").join(F.broadcast(n)).selectExpr("concat('o', o_orderkey)", "'orders'", "cast(o_orderkey as string)", "if(o_orderkey % 194 = 0, cast((o_custkey + 1) % n_customers as string), null)", "10000000000 + o_orderkey")
-    li = t["lineitem"].where("l_orderkey % 499 = 0").selectExpr("concat('l', l_orderkey, '.', l_linenumber)", "'lineitem'", "cast(l_orderkey as string)", "cast(null as string)", "20000000000 + l_orderkey * 10 + l_linenumber")
+    c = t["customer"].selectExpr("concat('c', c_custkey) as event_id", "'customer' as source_model", "cast(c_custkey as string) as entity_value", "if(c_custkey % 2 = 0, cast(c_custkey + 1 as string), null) as prior_entity_value", "c_custkey as position")
+    o = t["orders"].join(F.broadcast(n)).selectExpr("concat('o', o_orderkey)", "'orders'", "cast(o_orderkey as string)", "if(o_orderkey % 2 = 0, cast((o_custkey + 1) % n_customers as string), null)", "10000000000 + o_orderkey")
+    li = t["lineitem"].selectExpr("concat('l', l_orderkey, '.', l_linenumber)", "'lineitem'", "cast(l_orderkey as string)", "cast(null as string)", "20000000000 + l_orderkey * 10 + l_linenumber")
     return c.union(o).union(li)
 
 
@@ -411,12 +411,12 @@ def route_direct(spark, path):
     return keys.route_direct(_of(change_feed(spark, path), "customer"))
 
 
-@query("select 'o' || o_orderkey as event_id, o_custkey::varchar as entity_value from orders where o_orderkey % 97 = 0")
+@query("select 'o' || o_orderkey as event_id, o_custkey::varchar as entity_value from orders")
 def route_same_row(spark, path):
     return keys.route_same_row(_of(change_feed(spark, path), "orders"), Tables(spark, path)["orders"], "o_orderkey", "o_custkey")
 
 
-@query("select distinct 'l' || l_orderkey || '.' || l_linenumber as event_id, o_custkey::varchar as entity_value from lineitem join orders on o_orderkey = l_orderkey where l_orderkey % 499 = 0")
+@query("select distinct 'l' || l_orderkey || '.' || l_linenumber as event_id, o_custkey::varchar as entity_value from lineitem join orders on o_orderkey = l_orderkey")
 def route_multi_hop(spark, path):
     return keys.route_path(_of(change_feed(spark, path), "lineitem"), _route_tables(spark, path), ROUTES["lineitem"].hops)
 
@@ -442,17 +442,13 @@ def affected_entities(spark, path):
 
 @query(f"select entity_value, row_number() over (order by entity_value::bigint) as place from {_AFFECTED_SQL}")
 def entity_order(spark, path):
-    from pyspark.sql import Window
+    return keys.placed(affected_entities(spark, path).select("entity_value"))
 
-    # The place of the few affected entities; a total order needs one task.
-    order = Window.orderBy(*keys.entity_rank(F.col("entity_value")))
-    return affected_entities(spark, path).select("entity_value", F.row_number().over(order).cast("bigint").alias("place"))
 
-
-@query("select k as entity_value, min(l)::int as first_list from (select c_custkey::varchar as k, 0 as l from customer where c_custkey % 3 = 0 union all select distinct o_custkey::varchar, 1 from orders where o_orderkey % 5 = 0) group by 1")
+@query("select k as entity_value, min(l)::int as first_list from (select c_custkey::varchar as k, 0 as l from customer where c_acctbal < 0 union all select distinct o_custkey::varchar, 1 from orders where o_orderstatus = 'P') group by 1")
 def merge_keys(spark, path):
     t = Tables(spark, path)
-    return keys.merge_keys(t["customer"].where("c_custkey % 3 = 0").select("c_custkey"), t["orders"].where("o_orderkey % 5 = 0").select("o_custkey"))
+    return keys.merge_keys(t["customer"].where("c_acctbal < 0").select("c_custkey"), t["orders"].where("o_orderstatus = 'P'").select("o_custkey"))
 
 
 @query(f"select event_id from {_EVENTS_SQL} e where source_model <> 'customer' and prior_entity_value is null and not exists (select 1 from orders where o_orderkey::varchar = entity_value and o_orderstatus <> 'F')")
@@ -733,11 +729,20 @@ def _catalogs(spark, path) -> tuple[DataFrame, DataFrame]:
     return base, head
 
 
-@query("select 'p' || p_partkey as name, case p_partkey % 10 when 0 then 'added' when 1 then 'removed' else 'modified' end as change from part where p_partkey % 10 < 3")
+_CATALOG_DIFF_SQL = "select 'p' || p_partkey as name, case p_partkey % 10 when 0 then 'added' when 1 then 'removed' else 'modified' end as change from part where p_partkey % 10 < 3"
+
+
+@query(_CATALOG_DIFF_SQL)
 def catalog_diff(spark, path):
     return lineage.catalog_diff(*_catalogs(spark, path), "name", "text")
 
 
+@query(f"with recursive r(ancestor, node) as (select parent, child from {_EDGES_SQL} union select r.ancestor, e.child from {_EDGES_SQL} e join r on e.parent = r.node) select name, change, coalesce(string_agg(node, ',' order by node), '') as downstream from ({_CATALOG_DIFF_SQL}) left join r on ancestor = name group by all")
+def catalog_downstream(spark, path):
+    found = lineage.catalog_diff(*_catalogs(spark, path), "name", "text", _edges(spark, path))
+    return found.select("name", "change", F.array_join("downstream", ",").alias("downstream"))
+
+
 @query("select sha256('[' || string_agg('{\"key\":\"' || n || '\",\"fingerprint\":\"' || f || '\"}', ',' order by n) || ']') as catalog_fingerprint from (select 'p' || p_partkey as n, sha256('select ' || p_partkey) as f from part where p_partkey % 10 <> 0)")
 def catalog_fingerprint(spark, path):
     base, _ = _catalogs(spark, path)

@@ -55,7 +55,9 @@ def difference(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def changed_keys(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    return difference(before, after).select(key).distinct()
+    """Keys with rows that differ. Rows without a key belong to no entity and are left out, as they are of candidates."""
+    keyed = F.col(key).isNotNull()
+    return difference(before.where(keyed), after.where(keyed)).select(key).distinct()
 
 
 #: On targeted results the same operation confirms candidates.

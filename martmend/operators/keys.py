@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.frames import union_all
+from .workspace import Workspace, shared_base
 
 
 @dataclass(frozen=True)
@@ -119,6 +120,19 @@ def order_entities(df: DataFrame, key: str = "entity_value") -> DataFrame:
     return df.orderBy(*entity_rank(F.col(key)))
 
 
+def placed(df: DataFrame, key: str = "entity_value", place: str = "place") -> DataFrame:
+    """df with the place of each row, from 1, in the order of ``order_entities``: ranges of keys are ranked side by side, and each
+    range begins after the rows of those before it. The ranges are written once, as they are drawn by a sample."""
+    spark = df.sparkSession
+    ranges = df.repartitionByRange(*entity_rank(F.col(key))).withColumn("__range", F.spark_partition_id())
+    ranges = Workspace(spark, shared_base(spark)).put("ranges", ranges)
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    sizes = ranges.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*entity_rank(F.col(key))))
+    return ranges.join(offsets, "__range").select(*df.columns, (F.col("__before") + own).alias(place))
+
+
 def unresolved_events(events: DataFrame, routed: DataFrame) -> DataFrame:
     """Events that gave no key: not direct, no before-image, no routed key (routed: event_id, entity_value)."""
     return events.where("prior_entity_value is null").join(routed, "event_id", "left_anti")

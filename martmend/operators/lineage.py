@@ -53,16 +53,30 @@ def catalog_diff(base: DataFrame, head: DataFrame, key: str, text: str, edges: D
 
 
 def descendants(edges: DataFrame) -> DataFrame:
-    """(ancestor, node) for every pair; the graph must have no cycle."""
-    edges.createOrReplaceTempView("__edges")
-    return edges.sparkSession.sql("with recursive r(ancestor, node) as (select parent, child from __edges union all select r.ancestor, e.child from r join __edges e on e.parent = r.node) select distinct ancestor, node from r")
+    """(ancestor, node) for every pair, for any graph; on a cycle a node is its own descendant. Each round adds one step to the pairs
+    that the round before found and keeps those not found yet."""
+    spark = edges.sparkSession
+    work = Workspace(spark, shared_base(spark))
+    steps = edges.select(F.col("parent").alias("node"), F.col("child").alias("next")).where("node is not null and next is not null").distinct()
+    found = work.put("0", steps.select(F.col("node").alias("ancestor"), F.col("next").alias("node")))
+
+    def reached(rounds: int) -> DataFrame:
+        return spark.read.schema(found.schema).parquet(*[f"{work.path}/{i}" for i in range(rounds)])
+
+    rounds, fresh = 1, found
+    while not fresh.isEmpty():
+        following = fresh.join(steps, "node").select("ancestor", F.col("next").alias("node")).distinct()
+        fresh = work.put(str(rounds), following.join(reached(rounds), ["ancestor", "node"], "left_anti"))
+        rounds += 1
+    return reached(rounds)
 
 
 def derive_routes(columns: DataFrame, edges: DataFrame, unique: DataFrame, key: str) -> DataFrame:
     """upstream, downstream, status, join_column of each lineage edge.
 
     columns: table_name, column_name. unique: the same for columns whose values are unique. One shared unique column is
-    VERIFIED, several are AMBIGUOUS, none is UNRESOLVED; the mart's key wins where both tables have it.
+    VERIFIED, several are AMBIGUOUS, none is UNRESOLVED; the mart's key wins where both tables have it. An edge of a table without
+    columns is INVALID.
     """
     up = columns.select(F.col("table_name").alias("parent"), "column_name")
     down = columns.select(F.col("table_name").alias("child"), "column_name")
@@ -72,9 +86,44 @@ def derive_routes(columns: DataFrame, edges: DataFrame, unique: DataFrame, key:
     found = good.groupBy("parent", "child").agg(F.sort_array(F.collect_set("column_name")).alias("cols"))
     row = edges.join(found, ["parent", "child"], "left").withColumn("cols", F.coalesce("cols", F.array().cast("array<string>")))
     single = F.when(F.array_contains("cols", key), F.lit(key)).when(F.size("cols") == 1, F.get("cols", 0))
-    status = F.when(single.isNotNull(), "VERIFIED").when(F.size("cols") > 1, "AMBIGUOUS").otherwise("UNRESOLVED")
+    known = columns.select("table_name").distinct()
+    for c in ("parent", "child"):
+        row = row.join(known.select(F.col("table_name").alias(c), F.lit(True).alias(f"{c}_known")), c, "left")
+    invalid = F.col("parent_known").isNull() | F.col("child_known").isNull()
+    status = F.when(invalid, "INVALID").when(single.isNotNull(), "VERIFIED").when(F.size("cols") > 1, "AMBIGUOUS").otherwise("UNRESOLVED")
     return row.select(F.col("parent").alias("upstream"), F.col("child").alias("downstream"), status.alias("status"), single.alias("join_column"))
 
 
+def derive_chains(routes: DataFrame, target: str) -> DataFrame:
+    """upstream, status, route ("a -> b -> c") and join_columns for each table above target, from the edges of ``derive_routes``.
+
+    The route is the shortest chain of hops whose columns are known; VERIFIED if there is one and each hop is, AMBIGUOUS if there
+    are several or a hop is. Tables that no chain reaches are INVALID if all of their edges are, or else UNRESOLVED. Each
+    round goes one hop up from the tables that the round before reached, so cycles end."""
+    spark = routes.sparkSession
+    work = Workspace(spark, shared_base(spark))
+    routes = work.put("routes", routes)
+    hops = routes.where("status in ('VERIFIED', 'AMBIGUOUS')").select(F.col("upstream").alias("up"), F.col("downstream").alias("node"), (F.col("status") == "AMBIGUOUS").alias("open"), F.coalesce("join_column", F.lit("?")).alias("c"))
+    start = spark.createDataFrame([(target, target, "", False)], "node string, route string, join_columns string, several boolean")
+    found = work.put("0", start)
+
+    def reached(rounds: int) -> DataFrame:
+        return spark.read.schema(found.schema).parquet(*[f"{work.path}/{i}" for i in range(rounds)])
+
+    rounds, fresh = 1, found
+    while not fresh.isEmpty():
+        chain = fresh.join(hops, "node").select("up", F.concat_ws(" -> ", "up", "route").alias("route"), F.concat_ws(", ", "c", F.nullif("join_columns", F.lit(""))).alias("join_columns"), (F.col("several") | F.col("open")).alias("several"))
+        least = F.struct("route", "join_columns")
+        one = chain.groupBy(F.col("up").alias("node")).agg(F.min(least).alias("r"), (F.max("several") | (F.count(F.lit(1)) > 1)).alias("several"))
+        fresh = work.put(str(rounds), one.select("node", "r.route", "r.join_columns", "several").join(reached(rounds).select("node"), "node", "left_anti"))
+        rounds += 1
+    chains = reached(rounds).where(F.col("node") != target)
+    edges = routes.select(F.col("upstream").alias("parent"), F.col("downstream").alias("child"))
+    above = closure(edges, [target], "up").where(F.col("node") != target)
+    invalid = routes.groupBy(F.col("upstream").alias("node")).agg(F.min(F.col("status") == "INVALID").alias("invalid"))
+    status = F.when(F.col("route").isNull(), F.when(F.col("invalid"), "INVALID").otherwise("UNRESOLVED")).when(F.col("several"), "AMBIGUOUS").otherwise("VERIFIED")
+    return above.join(chains, "node", "left").join(invalid, "node", "left").select(F.col("node").alias("upstream"), status.alias("status"), "route", "join_columns")
+
+
 def route_text(hops: tuple[tuple[str, str], ...]) -> str:
     return " -> ".join(f"{t}.{c}" for t, c in hops)

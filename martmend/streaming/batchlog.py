@@ -37,6 +37,17 @@ def newest_unpublished(states: DataFrame, published: DataFrame) -> DataFrame:
     return latest_states(states).where("status = 'COMPLETED'").join(published.select("batch_id"), "batch_id", "left_anti").orderBy(F.desc("at"), F.desc("batch_id")).limit(1)
 
 
+def stale_before(states: DataFrame, batch_id: str) -> DataFrame:
+    """batch_id of completed batches without an applied repair that started before batch_id in its stream, the first part of
+    ids that end in a number."""
+    started = states.groupBy("batch_id").agg(F.min(F.struct("at", "seq")).alias("start"))
+    stream = F.regexp_replace("batch_id", "-?[0-9]+$", "")
+    own = started.where(F.col("batch_id") == batch_id).select(F.col("start").alias("own_start"), stream.alias("own_stream"))
+    done = latest_states(states).where((F.col("status") == "COMPLETED") & ~F.col("repair_applied")).select("batch_id").join(started, "batch_id")
+    earlier = done.withColumn("stream", stream).join(own, (F.col("stream") == F.col("own_stream")) & (F.col("start") < F.col("own_start")))
+    return earlier.orderBy("start", "batch_id").select("batch_id")
+
+
 class BatchLog:
     """Tables below one folder: states, raw/batch_id=, events/batch_id=, proofs/batch_id=."""
 
@@ -107,9 +118,8 @@ class BatchLog:
         return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def assert_fresh(self, batch_id: str) -> None:
-        """An earlier batch that is completed but not applied leaves a stale baseline."""
-        stale = latest_states(self.states()).where((F.col("status") == "COMPLETED") & ~F.col("repair_applied") & (F.col("batch_id") < batch_id))
-        if row := stale.select("batch_id").first():
+        """An earlier batch of the same stream that is completed but not applied leaves a stale baseline."""
+        if row := stale_before(self.states(), batch_id).first():
             raise cdc.BatchFailed(f"BASELINE_STALE: {row[0]}")
 
     def prove(self, batch_id: str, recompute: Callable[[DataFrame], DataFrame], mart: DataFrame, key: str, apply: Callable[[DataFrame, DataFrame], object] | None = None, allow_vanished: bool = True) -> DataFrame:

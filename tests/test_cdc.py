@@ -78,6 +78,8 @@ def test_stale_baseline_and_vanished_keys(spark, tmp_path):
     assert log.prove("b1", lambda k: mart.limit(0), mart, "k").first().vanished_count == 1
     with pytest.raises(cdc.BatchFailed, match="BASELINE_STALE"):
         log.prove("b2", lambda k: mart, mart, "k")
+    assert log.capture(decoded(spark, [("DELETE", "no", "r3", "1", "5")]), "c3", "s") == "CAPTURED"
+    assert log.prove("c3", lambda k: mart.limit(0), mart, "k").first().vanished_count == 1  # another stream's batches do not matter
 
 
 def test_lateness(spark, tmp_path):

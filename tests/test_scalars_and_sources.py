@@ -119,3 +119,34 @@ def test_closure_has_no_limit_and_bears_cycles(spark):
     assert sorted(r.node for r in lineage.closure(ring, ["a"]).collect()) == ["a", "b", "c", "d"]
     assert sorted(r.node for r in lineage.closure(ring, ["d"], "up").collect()) == ["a", "b", "c"]
     assert lineage.closure(ring, ["d"]).count() == 0
+    pairs = {(r.ancestor, r.node) for r in lineage.descendants(ring).collect()}
+    assert pairs == {(x, y) for x in "abc" for y in "abcd"}
+    chain = spark.range(12).selectExpr("concat('it''s ', id) as parent", "concat('it''s ', id + 1) as child")
+    assert lineage.descendants(chain).count() == 12 * 13 // 2
+
+
+def test_places_follow_the_order_of_entities(spark):
+    from martmend.operators import keys
+
+    values = [str(i) for i in range(-50, 500)] + ["b", "a", "x 1"]
+    df = spark.createDataFrame([(v,) for v in values], "entity_value string").repartition(7)
+    got = [r.entity_value for r in keys.placed(df).orderBy("place").collect()]
+    assert got == values[:550] + ["a", "b", "x 1"]
+
+
+def test_rows_without_a_key_are_no_entity(spark):
+    from martmend.operators import compare
+
+    a, b = (spark.createDataFrame([(1, n), (None, n + 1), (2, 5)], "k int, n int") for n in (1, 2))
+    assert [r.k for r in compare.changed_keys(a, b, "k").collect()] == [1]
+
+
+def test_chains_of_routes(spark):
+    columns = [("a", "k"), ("b", "k"), ("b", "l"), ("c", "l"), ("d", "x"), ("e", "l"), ("e", "k"), ("c", "k2")]
+    columns = spark.createDataFrame(columns, "table_name string, column_name string")
+    unique = spark.createDataFrame([("a", "k"), ("b", "l"), ("e", "l")], "table_name string, column_name string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "c"), ("gone", "c"), ("a", "e"), ("e", "c"), ("c", "a")], "parent string, child string")
+    routes = lineage.derive_routes(columns, edges, unique, "none")
+    assert {(r.upstream, r.downstream): r.status for r in routes.collect()}[("gone", "c")] == "INVALID"
+    got = {r.upstream: (r.status, r.route, r.join_columns) for r in lineage.derive_chains(routes, "c").collect()}
+    assert got == {"a": ("AMBIGUOUS", "a -> b -> c", "k, l"), "b": ("VERIFIED", "b -> c", "l"), "e": ("VERIFIED", "e -> c", "l"), "d": ("UNRESOLVED", None, None), "gone": ("INVALID", None, None)}
