@@ -26,7 +26,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again, so later failures recompute nothing above it."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.written_at = path
+    return written
+
+
+def dropped(spark: SparkSession, what: DataFrame | str) -> None:
+    """Delete a folder below the shared one, or the table that ``cut`` wrote, when nothing will read it again."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(what if isinstance(what, str) else what.written_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def union(a: DataFrame, *more: DataFrame) -> DataFrame:
