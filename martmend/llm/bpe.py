@@ -43,9 +43,9 @@ BUCKETS = 65536
 #: Bytes of a word beyond which the heap is used.
 LONG_WORD = 512
 #: Words that are numbered at once, words that are replaced at once, and distinct words of a task after which its dictionary begins anew.
-BATCH_WORDS, PART_WORDS, BOOK_WORDS = 2_000_000, 250_000, 500_000
+BATCH_WORDS, PART_WORDS, BOOK_WORDS = 1_500_000, 250_000, 500_000
 #: The list of common words: rows that it is taken from, most words, most bytes of a word, rows in which they are folded.
-SAMPLE_ROWS, COMMON_WORDS, COMMON_BYTES, COMMON_GROUPS = 24_000, 1_000_000, 64, 16
+SAMPLE_ROWS, COMMON_WORDS, COMMON_BYTES, COMMON_GROUPS = 12_000, 600_000, 64, 16
 #: Character that stands for a pair that cannot be merged; it comes after all others.
 NONE = "\U0010ffff"
 #: The White_Space property of Unicode, which Java's \\s lacks.
@@ -171,7 +171,9 @@ class _Book:
 
     def add(self, words: pa.StringArray, merged: pa.StringArray) -> None:
         size = pc.utf8_length(merged).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = np.frombuffer("".join(merged.to_pylist()).encode("utf-32-le"), np.int32)
+        bounds = np.frombuffer(merged.buffers()[1], np.int32)[merged.offset : merged.offset + len(merged) + 1] if len(merged) else np.zeros(1, np.int32)
+        text = (merged.buffers()[2] or b"")[int(bounds[0]) : int(bounds[-1])]
+        flat = np.frombuffer(bytes(text).decode().encode("utf-32-le"), np.int32)
         ids = np.where(flat < 256, self.of_byte[np.minimum(flat, 255)], np.where(flat < 0xD800, flat - 256, flat - 0x2900)).astype(np.int32)
         for i in np.flatnonzero(size == 0).tolist():  # words that the fold leaves to the heap
             long = np.array(heap_ids(words[i].as_py().encode(), self.ranks), np.int32)
@@ -191,15 +193,15 @@ def split_words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
 
 
-def folded(df: DataFrame, ranks: dict[bytes, int], news: str, merged: str) -> DataFrame:
-    """df with merged: the words of the array column news after all merges; the map is read once for each row that has words."""
+def folded(df: DataFrame, pairs: str, news: str, merged: str) -> DataFrame:
+    """df with merged: the words of the array column news after all merges; the map of ``merge_map`` is read once for each row that has words."""
     # The map is one literal string: as a folded literal of 65,536 maps it would take each task seconds to deserialize. The
     # empty repetition keeps the optimizer from folding it.
-    table = F.from_json(F.concat(F.lit(merge_map(ranks)), F.repeat(F.lit(" "), F.size(news) * 0)), "array<map<string,string>>")
+    table = F.from_json(F.concat(F.lit(pairs), F.repeat(F.lit(" "), F.size(news) * 0)), "array<map<string,string>>")
     return df.withColumn(merged, F.when(F.size(news) > 0, let(table, lambda t: F.transform(news, lambda w: merged_word(w, t)))).otherwise(F.array().cast("array<string>")))
 
 
-def common_words(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+def common_words(df: DataFrame, ranks: dict[bytes, int], pairs: str, pattern: str, text: str = "text") -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
     """Words and, by their place, the bounds and values of their ids: tokens, and words of the rows with the least hashes."""
     tokens = []
     for piece in ranks:
@@ -217,7 +219,7 @@ def common_words(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
             break
         least = c
     groups = words.where(F.col("count") >= least).groupBy(F.pmod(F.xxhash64("w"), F.lit(COMMON_GROUPS)).alias("g")).agg(F.collect_list("w").alias("news"))
-    found = folded(groups, ranks, "news", "merged").select("news", "merged").toArrow()
+    found = folded(groups, pairs, "news", "merged").select("news", "merged").toArrow()
     news, merged = (pc.list_flatten(found.column(c)).combine_chunks().cast(pa.string()) for c in ("news", "merged"))
     known = pa.array(tokens, pa.string())
     other = pc.invert(pc.is_in(news, value_set=known))
@@ -233,7 +235,8 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     kept = [f for f in df.schema.fields if f.name.lower() != ids.lower()]
     names = [f.name for f in kept]
     k = len(names)
-    shared = df.sparkSession.sparkContext.broadcast(common_words(df, ranks, pattern, text))
+    pairs = merge_map(ranks)
+    shared = df.sparkSession.sparkContext.broadcast(common_words(df, ranks, pairs, pattern, text))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Codes instead of words; ``news``: new words that must be merged; a null among them begins a dictionary anew."""
@@ -282,7 +285,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
             pa.default_memory_pool().release_unused()
 
     numbered = df.select(*names, split_words(F.col(text), pattern).alias(words)).mapInArrow(number, T.StructType([*kept, T.StructField(codes, T.ArrayType(T.IntegerType())), T.StructField(news, T.ArrayType(T.StringType()))]))
-    return folded(numbered, ranks, news, merged).mapInArrow(replace, T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return folded(numbered, pairs, news, merged).mapInArrow(replace, T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
