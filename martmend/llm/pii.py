@@ -44,22 +44,37 @@ COUNTRIES = "AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI L
 CUES = r"(?i)\b(?:account|address|born|call|contact|email|fax|iban|id|mail|mobile|mr|mrs|ms|dr|name|passport|phone|ssn|tel|telephone)\b[^\n]{0,24}$"
 LABELERS = ("form", "gazetteer", "context")
 AROUND = 40
+#: Items of a chunk of a long array.
+CHUNK = 64
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Array of (start, end, found) of all matches."""
+def chunked(items: Column) -> Column:
+    """The array cut into arrays of ``CHUNK`` items."""
+    cut_up = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK)))
+    return F.when(F.size(items) > 0, cut_up).otherwise(F.slice(F.array(items), F.lit(1), F.lit(0)))
 
-    def place(found: Column) -> Column:
-        gaps = F.transform(F.split(text, pattern, -1), F.length)
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
 
+def located(text: Column, pattern: str) -> Column:
+    """Array of (start, end, found) of all matches. Places add up within chunks and then over chunks, as adding to a long array copies it."""
+    span = "struct<start:int,end:int,found:string>"
+
+    def within(chunk: Column) -> Column:
         def add(state: Column, pair: Column) -> Column:
             begin = state["at"] + pair["gap"]
             end = begin + F.length(pair["found"])
             return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), pair["found"].alias("found")))).alias("out"))
 
+        return F.aggregate(chunk, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("out")), add)
+
+    def follow(state: Column, chunk: Column) -> Column:
+        moved = F.transform(chunk["out"], lambda s: F.struct((s["start"] + state["at"]).alias("start"), (s["end"] + state["at"]).alias("end"), s["found"].alias("found")))
+        return F.struct((state["at"] + chunk["at"]).alias("at"), F.concat(state["out"], F.array(moved)).alias("out"))
+
+    def place(found: Column) -> Column:
+        gaps = F.slice(F.transform(F.split(text, pattern, -1), F.length), F.lit(1), F.size(found))
         pairs = F.zip_with(found, gaps, lambda f, g: F.struct(f.alias("found"), g.alias("gap")))
-        return F.aggregate(F.filter(pairs, lambda p: p["found"].isNotNull()), start, add)["out"]
+        chunks = let(pairs, lambda p: F.transform(chunked(p), within))
+        return F.flatten(F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{span}>>").alias("out")), follow)["out"])
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
@@ -120,7 +135,17 @@ def loose_spans(text: Column, base: Column) -> Column:
         return named
 
     spans = F.transform(located(text, any_of), lambda s: F.struct(kind(s["found"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found")))
-    free = F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+
+    def overlap(x: Column, y: Column) -> Column:
+        return (x["start"] < y["end"]) & (y["start"] < x["end"])
+
+    def bounds(chunk: Column) -> Column:
+        return F.struct(F.array_min(F.transform(chunk, lambda b: b["start"])).alias("start"), F.array_max(F.transform(chunk, lambda b: b["end"])).alias("end"), chunk.alias("own"))
+
+    # Base spans in order of place, so that a candidate looks into the chunks around it only.
+    by_place = F.array_sort(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+    near = F.transform(let(by_place, chunked), bounds)
+    free = let(near, lambda n: F.filter(spans, lambda s: ~F.exists(n, lambda c: overlap(c, s) & F.exists(c["own"], lambda b: overlap(b, s)))))
     return F.when(text.rlike(any_of), free).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,found:string>>"))
 
 
