@@ -68,20 +68,25 @@ def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), winnow.fingerprint(F.col("marks")).alias("fingerprint"), winnow.fingerprint(F.col("edited_marks")).alias("edited_fingerprint"), winnow.likeness(own, edited).alias("near_edited"), winnow.likeness(own, following).alias("near_next"))
 
 
+#: Target weights of the mixing query; other sources have weight 1. With twenty sources of equal size src1 has a mean of ten copies.
+WEIGHTS = {"src0": 0.5, "src1": 20.0, "src2": 3.0, "src3": 0.0}
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.replicate(_table(spark, sf_dir, "documents"), seed=10)
+    mixed = mixing.replicate(_table(spark, sf_dir, "documents"), weights=WEIGHTS, seed=10)
     return mixing.shuffled(mixed).select("doc_id", "source", "text", "copy_no", "place")
 
 
 OP10_SQL = """
 with d as (select doc_id, source, text, md5(coalesce(text, '')) as h from documents),
-r as (select source, count(*)::double as n from d group by source),
-m as (select source, (select count(*) from d)::double / (select count(*) from r) * 1.0 / n as mean from r),
-w as (select source, mean, greatest(0, floor(mean - 8)) as whole from m),
-t as (select source, whole, k, round(sum(exp(-(mean - whole)) * pow(mean - whole, k::double) / gamma(k + 1.0)) over (partition by source order by k), 15) as s
-      from w, (select unnest(range(0, 64)) as k)),
-u as (select d.*, ('0x' || substr(md5(concat_ws('|', '10', coalesce(cast(doc_id as varchar), '~'), h)), 1, 13))::bigint / 4503599627370496.0::double as u from d),
-c as (select u.doc_id, u.source, u.text, u.h, (max(t.whole) + count(*) filter (where t.s <= u.u))::int as n
+r as (select source, count(*)::double as n, case source when 'src0' then 0.5 when 'src1' then 20.0 when 'src2' then 3.0 when 'src3' then 0.0 else 1.0 end::double as w from d group by source),
+m as (select source, (select count(*) from d)::double / (select sum(w) from r) * w / n as mean from r),
+p as (select source, mean, floor(mean / 9)::int + 1 as parts from m),
+t as (select source, k, round(sum(exp(-(mean / parts)) * pow(mean / parts, k::double) / gamma(k + 1.0)) over (partition by source order by k), 15) as s
+      from p, (select unnest(range(0, 64)) as k)),
+q as (select d.*, unnest(range(1, p.parts + 1)) as i from d join p on d.source is not distinct from p.source),
+u as (select *, ('0x' || substr(md5(concat_ws('|', '10', coalesce(cast(doc_id as varchar), '~'), h, case when i > 1 then 'part ' || i end)), 1, 13))::bigint / 4503599627370496.0::double as u from q),
+c as (select u.doc_id, u.source, u.text, u.h, count(*) filter (where t.s <= u.u)::int as n
       from u join t on u.source is not distinct from t.source group by all),
 e as (select doc_id, source, text, h, unnest(range(1, n + 1))::int as copy_no from c)
 select doc_id, source, text, copy_no,
