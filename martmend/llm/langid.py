@@ -1,10 +1,9 @@
 """Language ID by compression (operator 8): each language has a zstandard raw-content dictionary of training text, a text
-is compressed with each, and the smallest result names the language. Letters are lower-cased first. Sizes are whole bytes,
-which is coarse for a short text: up to ``SHORT`` bytes, the mean size over ``PARTS`` slices of each dictionary is added.
+is compressed with each, and the smallest result names the language. Letters are lower-cased first. As sizes are whole bytes, which
+is coarse for a text of a few words, the mean size over the two halves of the dictionary is added to that with the whole.
 
-Training takes ``per_language`` distinct labelled texts of each language, those with the least hashes, of which at most
-``piece`` characters each go into a dictionary of at most ``dict_bytes``: a bounded sample by documented parameters.
-Prediction reads every whole text.
+Training takes ``per_language`` distinct labelled texts of each language, those with the least hashes among texts of at most
+``longest`` characters, whole: a sample of rows bounded by documented parameters. Prediction reads every whole text.
 
 Defined results: a null text and a text without letters get ``und``, score 0, rejected; equal sizes go to the language
 that comes first by name; the score is 1 - smallest/second smallest (1 with a single language); a text is rejected if
@@ -19,25 +18,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVEL = 3
-SHORT, PARTS = 300, 8
 #: Relative gap between the two smallest sizes below which a text is rejected.
 MARGIN = 0.001
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 400, piece: int = 4000, dict_bytes: int = 400_000) -> dict[str, bytes]:
+def train(df: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 400, longest: int = 4000) -> dict[str, bytes]:
     """A dictionary of raw content for each non-null language of df."""
-    rows = df.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = df.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= longest))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    order = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", "h").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
-    hashes = [r.h for r in chosen.select("h").distinct().collect()]
-    if not hashes:
+    # Hashes are even, so those below this share of their range are about four times the texts needed, or all.
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not counts:
         return {}
-    sample = rows.where(F.col("h").isin(hashes)).groupBy("lang", "h").agg(F.min(F.substring(F.lower("text"), 1, piece)).alias("text")).collect()
+    most = F.lit(2.0**63)
+    for name, n in counts.items():
+        most = F.when(F.col("lang") == name, 2.0**64 * min(1.0, 4 * per_language / max(1, n)) - 2.0**63).otherwise(most)
+    few = rows.where(F.col("h") <= most).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("h")
+    chosen = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("lang", "h", "text").collect()
     parts: dict[str, list] = {}
-    for r in sorted(sample, key=lambda r: (r.lang, r.h)):
-        parts.setdefault(r.lang, []).append(r.text.encode())
-    return {k: b"\n".join(v)[-dict_bytes:] for k, v in sorted(parts.items())}
+    for r in sorted(chosen, key=lambda r: (r.lang, r.h)):
+        parts.setdefault(r.lang, []).append(r.text.lower().encode())
+    return {k: b"\n".join(v) for k, v in sorted(parts.items())}
 
 
 def classify(text: Column, model: dict[str, bytes], margin: float = MARGIN) -> Column:
@@ -51,14 +53,14 @@ def classify(text: Column, model: dict[str, bytes], margin: float = MARGIN) -> C
             return zstandard.ZstdCompressor(dict_data=book, write_content_size=False, write_dict_id=False, write_checksum=False)
 
         coders = {lang: coder(raw) for lang, raw in model.items()}
-        slices = {lang: [coder(raw[i * len(raw) // PARTS : (i + 1) * len(raw) // PARTS] or raw) for i in range(PARTS)] for lang, raw in model.items()}
+        halves = {lang: [coder(raw[: len(raw) // 2] or raw), coder(raw[len(raw) // 2 :])] for lang, raw in model.items()}
         out = []
         for t in texts:
             if not coders or not isinstance(t, str) or not any(map(str.isalpha, t)):
                 out.append(("und", 0.0, True))
                 continue
             raw = t.lower().encode()
-            sizes = sorted((len(c.compress(raw)) + (sum(len(s.compress(raw)) for s in slices[lang]) / PARTS if len(raw) <= SHORT else 0), lang) for lang, c in coders.items())
+            sizes = sorted((len(c.compress(raw)) + sum(len(h.compress(raw)) for h in halves[lang]) / 2, lang) for lang, c in coders.items())
             score = 1.0 if len(sizes) == 1 else 1 - sizes[0][0] / sizes[1][0]
             out.append((sizes[0][1], score, score < margin))
         return pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])

@@ -118,6 +118,25 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_sizes_and_scores_equal_a_plain_version(spark):
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit("x")).withColumn("h", F.lit(1))
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+
+    def size(book, text):
+        raw = zstandard.ZstdCompressionDict(book, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw.precompute_compress(level=3)
+        return len(zstandard.ZstdCompressor(dict_data=raw, write_content_size=False, write_dict_id=False, write_checksum=False).compress(text))
+
+    for r in docs.select("text", langid.classify(F.col("text"), model).alias("r")).limit(60).collect():
+        text = (r.text or "").lower().encode()
+        if any(map(str.isalpha, r.text or "")):
+            sizes = sorted((size(b, text) + (size(b[: len(b) // 2], text) + size(b[len(b) // 2 :], text)) / 2, k) for k, b in model.items())
+            assert (r.r.lang_pred, r.r.score) == (sizes[0][1], 1 - sizes[0][0] / sizes[1][0])
+            assert r.r.rejected == (r.r.score < langid.MARGIN)
+
+
 def test_language_odd_texts(spark):
     train = spark.createDataFrame([("the and of the house", "en"), ("der die und das haus", "de"), (None, "fr"), ("x", None), ("123", "es")], "text string, lang string")
     model = langid.train(train)
