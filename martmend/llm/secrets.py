@@ -3,10 +3,14 @@
 Every run of 20 or more characters of an encoding's alphabet is a candidate. Its encoding is the smallest alphabet that
 holds it; three tests ask whether its characters could be drawn evenly from that alphabet: chi-squared uniformity, runs
 above and below the middle of the alphabet, and lag-one serial correlation. The p-value is three times the least of the
-three (Bonferroni). Within each encoding and length class, the Benjamini-Hochberg procedure over all candidates of the
-table marks those that are not random; its counts are gathered as a histogram of p-values over all rows, of a size fixed
-by the number of classes and bins. Candidates that keep looking random and mix letters with digits are reported as
-``random``, save where they lie within a span of the fixed patterns.
+three (Bonferroni): random tokens have any p-value alike (or a higher one), others a low one.
+
+What is reported is bounded by its share of false reports, for each encoding and length class on its own, as short tokens of
+words look random more often than long ones. Of a class's candidates over all rows, those with p-values above a half are twice
+the random ones that remain there, which gives the number of random candidates; of all candidates above a threshold, those
+beyond the random ones expected there are false reports. The threshold is the lowest with a share of at most ``q``. The counts are
+gathered as a histogram of p-values over all rows, of a size fixed by the number of classes and bins. Candidates above the
+threshold that mix letters with digits are reported as ``random``, save where they lie within a span of the fixed patterns.
 
 Defined results: null is the empty text; an empty table has empty results; long texts are scanned whole.
 """
@@ -40,6 +44,8 @@ ALPHABETS = (
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
 BINS, PER_TEN = 400, 20
+#: Bin from which on nothing is reported: a p-value of a thousandth.
+LEAST = 60
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -100,8 +106,21 @@ def candidates(text: str) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def lowest_bins(counts: np.ndarray, q: float) -> int:
+    """Bins from 0 (the highest p-values) whose candidates are reported, all together with a share of false ones of at most q.
+
+    counts: candidates by bins of the p-value. Random candidates are estimated by those above a half."""
+    half = round(PER_TEN * math.log10(2))
+    above = np.cumsum(counts)
+    share = 1 - 10.0 ** (-(np.arange(BINS) + 1) / PER_TEN)  # of random candidates, those above a bin's end
+    expected = above[half - 1] / share[half - 1] * share
+    false = 1 - expected / np.maximum(above, 1)
+    good = np.flatnonzero((false <= q) & (above > 0) & (np.arange(BINS) < LEAST))
+    return int(good[-1]) + 1 if good.size else 0
+
+
 def thresholds(df: DataFrame, text: str = "text", q: float = 0.05) -> dict[str, int]:
-    """For each class the least bin whose candidates are rejected as not random, by Benjamini-Hochberg over all rows."""
+    """For each class the number of bins whose candidates are reported, over all rows."""
 
     @F.pandas_udf("array<string>")
     def binned(texts: pd.Series) -> pd.Series:
@@ -112,13 +131,7 @@ def thresholds(df: DataFrame, text: str = "text", q: float = 0.05) -> dict[str,
     for r in counts:
         name, _, b = r.k.rpartition("/")
         tally.setdefault(name, np.zeros(BINS, np.int64))[int(b)] += r["count"]
-    out = {}
-    for name, c in tally.items():
-        beyond = np.cumsum(c[::-1])[::-1]  # candidates with a p-value as small or smaller
-        upper = 10.0 ** (-np.arange(BINS) / PER_TEN)  # the largest p-value of a bin
-        passed = np.flatnonzero((upper <= q * beyond / c.sum()) & (beyond > 0))
-        out[name] = int(passed[0]) if passed.size else BINS
-    return out
+    return {name: lowest_bins(c, q) for name, c in tally.items()}
 
 
 def find(text: Column, limits: dict[str, int]) -> Column:
@@ -128,7 +141,7 @@ def find(text: Column, limits: dict[str, int]) -> Column:
     def scan(texts: pd.Series) -> pd.Series:
         def one(t: str) -> list:
             base = base_spans(t)
-            more = [("random", s, e) for c, s, e, b in candidates(t) if b < limits.get(c, BINS) and not any(x[1] <= s and e <= x[2] for x in base)]
+            more = [("random", s, e) for c, s, e, b in candidates(t) if b < limits.get(c, 0) and not any(x[1] <= s and e <= x[2] for x in base)]
             return [{"kind": k, "start": s, "end": e} for k, s, e in sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0])))]
 
         return texts.map(one)

@@ -126,3 +126,33 @@ def test_queries_equal_plain_patterns(spark, name):
         plain = (plain_pii if name == "op4_pii" else plain_secrets)(d.text)
         assert got[d.doc_id].base_sha256 == hashlib.sha256(plain.encode()).hexdigest()
         assert set(plain.split(",")) <= set(got[d.doc_id].spans.split(","))
+
+
+def test_share_of_false_secrets_is_bounded():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for kept in (200, 2000, 20_000):
+        real, words = rng.random(kept), 10.0 ** (-rng.exponential(6, 20_000))  # words look random now and then
+        bins = [np.minimum(secrets.BINS - 1, (-secrets.PER_TEN * np.log10(p)).astype(int)) for p in (real, words)]
+        limit = secrets.lowest_bins(np.bincount(np.concatenate(bins), minlength=secrets.BINS), 0.05)
+        told = [int((b < limit).sum()) for b in bins]
+        # As many as tokens with p-values above a half let expect count as random; of all others few are reported.
+        half = 10.0 ** (-6 / secrets.PER_TEN)
+        random_like = (np.concatenate([real, words]) > half).sum() / (1 - half) * (1 - 10.0 ** (-limit / secrets.PER_TEN))
+        assert sum(told) - random_like <= 0.05 * sum(told) + 1
+        assert kept < 20_000 or told[0] >= 0.5 * kept
+    assert secrets.lowest_bins(np.zeros(secrets.BINS, np.int64), 0.05) == 0
+
+
+def test_places_of_many_matches(spark):
+    import time
+
+    text = "Anna Schmidt, a@b.cd +49 123 45678 " * 3000
+    docs = frame(spark, [text, "x" + text[:700]])
+    began = time.time()
+    got = {r.doc_id: r for r in pii.candidates(docs).collect()}
+    assert time.time() - began < 60
+    for r in got.values():
+        assert all(r.text[s.start : s.end] == s.found for s in [*r.base, *r.loose])
+    assert sum(s.kind == "email" for s in got[0].base) == sum(s.kind == "phone" for s in got[0].base) == 3000
