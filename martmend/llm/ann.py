@@ -7,8 +7,9 @@ queue holds branches of all trees by the smallest margin on their path; leaves a
 found. Queries and vectors meet by blocks of leaves; a block is cut into parts so that its size stays bounded as the table
 grows, and only a query's best of a block leave it. The forest's size is bounded by the sample.
 
-Equal vectors are one class, of which the ``k`` + 1 smallest ids are kept: no result can need more. So a vector that is
-repeated many times costs as much as one that is not.
+Vectors of one direction (to ``PLACES`` decimal places) are one class, of which the ``k`` + 1 smallest ids are kept with their
+own vectors: no result can need more. So a direction that is repeated many times costs as much as one that is not. Cosines that
+agree to ``PLACES`` places are ties, and no cut is made inside a tie.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite components take no
 part, nor do rows without an id; rows that repeat id and vector count once; ties go to the smaller id; with fewer than k
@@ -30,6 +31,8 @@ from .common import cut
 TREES, LEAVES, SAMPLE, LEAF = 8, 640, 20_000, 12
 #: Leaves in a block, and vectors of a block beyond which it is cut into parts.
 BLOCK, PART = 128, 32_768
+#: Decimal places to which directions and cosines are told apart.
+PLACES = 12
 
 
 def usable(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -42,11 +45,15 @@ def usable(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding")
 
 
 def classes(rows: DataFrame, k: int) -> DataFrame:
-    """c (class number, a hash), v and ids (the k + 1 smallest) of each distinct vector."""
-    order = Window.partitionBy("c", "c2").orderBy("vec_id")
-    numbered = rows.distinct().withColumn("c", F.xxhash64("v")).withColumn("c2", F.hash("v"))
+    """c (class number, a hash), v (one of its vectors) and members (vec_id and v of the k + 1 smallest ids) of each direction."""
+    order = Window.partitionBy("c", "c2").orderBy("vec_id", "v")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    # Adding zero turns a negative zero into a positive one.
+    direction = F.transform("v", lambda x: F.round(x / F.col("norm"), PLACES) + 0.0)
+    numbered = rows.distinct().withColumn("norm", norm).withColumn("direction", direction)
+    numbered = numbered.select("vec_id", "v", F.xxhash64("direction").alias("c"), F.hash("direction").alias("c2"))
     least = numbered.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
-    return least.groupBy("c", "c2").agg(F.min("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids")).drop("c2")
+    return least.groupBy("c", "c2").agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("members")).select("c", F.get("members", 0)["v"].alias("v"), "members")
 
 
 class Forest:
@@ -108,6 +115,13 @@ class Forest:
         return found
 
 
+def cosine(a: str, b: str):
+    def dot(x: str, y: str):
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
 def _units(column: pa.Array) -> np.ndarray:
     v = column.flatten().to_numpy().reshape(len(column), -1)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -153,18 +167,25 @@ def nearest(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embeddi
             for leaf in np.intersect1d(ql, xl):
                 a, b = qrow[ql == leaf], np.flatnonzero(xl == leaf)
                 cosine = (q[a] @ x[b].T) / (qn[a][:, None] * xn[b][None, :])
-                best = np.argsort(-cosine, axis=1, kind="stable")[:, : 3 * (k + 1)]
-                out[0].append(np.repeat(qid[a], best.shape[1]))
-                out[1].append(cid[b][best].ravel())
-                out[2].append(np.take_along_axis(cosine, best, 1).ravel())
+                # The k + 1 best classes and all that tie with the last of them.
+                last = -np.partition(-cosine, k, axis=1)[:, k] if cosine.shape[1] > k + 1 else np.full(len(a), -np.inf)
+                i, j = np.nonzero(cosine >= last[:, None] - 10.0**-PLACES)
+                out[0].append(qid[a][i])
+                out[1].append(cid[b][j])
+                out[2].append(cosine[i, j])
         return pa.table([np.concatenate(c) for c in out], ["q", "c", "score"])
 
     index = held.select("c", "v").mapInArrow(place, "tree long, block long, leaf long, c long, v array<double>").withColumn("part", F.pmod(F.xxhash64("c"), F.lit(parts)))
     asked = rows.where(is_query(F.col("vec_id"))).distinct().mapInArrow(ask, "tree long, block long, leaves array<long>, q long, v array<double>").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     keys = ["tree", "block", "part"]
     met = asked.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInArrow(score, "q long, c long, score double")
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "least")
-    found = met.groupBy("q", "c").agg(F.max("score").alias("score")).join(held.select("c", "ids", F.get("ids", 0).alias("least")), "c")
-    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= 3 * (k + 1)).select("q", "score", F.explode("ids").alias("vec_id")).where("q <> vec_id")
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", "vec_id", "score")
+    near = F.round("score", PLACES)
+    best = Window.partitionBy("q").orderBy(F.desc(near), "least")
+    found = met.groupBy("q", "c").agg(F.max("score").alias("score")).join(held.select("c", "members", F.get("members", 0)["vec_id"].alias("least")), "c")
+    # Of k + 1 classes each has an id, so they hold the k nearest besides the query itself.
+    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("q", F.explode("members").alias("m")).select("q", F.col("m.vec_id").alias("vec_id"), F.col("m.v").alias("v")).where("q <> vec_id")
+    asking = rows.where(is_query(F.col("vec_id"))).distinct().select(F.col("vec_id").alias("q"), F.col("v").alias("w"))
+    # An id that stands with several vectors counts by its nearest.
+    scored = found.join(asking, "q").select("q", "vec_id", cosine("v", "w").alias("score")).groupBy("q", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("q").orderBy(F.desc(near), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", "vec_id", "score")

@@ -20,6 +20,7 @@ def test_odd_vectors_copies_and_ties(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.standard_normal(4)]) for i in range(120)]
     rows += [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(200, 290)]
+    rows += [(i, [float(x * (i - 399)) for x in (0.1, -0.2, 0.3, 0.7)]) for i in range(400, 461)]
     rows += [(300, None), (301, [0.0] * 4), (302, [1.0, None, 1.0, 1.0]), (303, [1.0, float("nan"), 1.0, 1.0]), (304, [float("inf"), 1.0, 1.0, 1.0]), (305, [1.0, 2.0]), (None, [1.0] * 4), (50, rows[50][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(0)).withColumn("c", F.lit("x"))
     kept = [(r.vec_id, r.embedding) for r in df.distinct().collect() if r.embedding is None or len(r.embedding) == 4]
