@@ -4,6 +4,8 @@ Reader: it walks an archive member by member (or record by record where it is no
 member's CRC, the version line, the length, the closing blank lines and, where given, the block digest. After a failed
 check it searches for the next valid member or version line, goes on from there, and logs the bytes between as a gap. Inside a
 member whose CRC is right it does the same in the content; such a gap names the content's bytes, as its place is the member's.
+Of a member whose end is missing, records that their own digest proves are recovered; the gap has its bytes. A member with a wrong
+CRC or form is lost, as the damage may be in a header, which no digest covers.
 
 Writer: ``write`` makes one folder of archives for each task; a task writes under a name of its own and renames the
 folder when it is complete, so a lost or repeated task leaves no partial archive under ``part-*``. Archives are rolled
@@ -114,16 +116,16 @@ def write(planned: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> None
     planned.mapInArrow(store, "records long").agg(F.sum("records")).collect()
 
 
-def read_member(data: memoryview, at: int) -> tuple[bytes, int] | None:
-    """The content of the gzip member at a place and where it ends; None if its CRC or its form is wrong."""
-    unpacker, out, fed = zlib.decompressobj(31), [], at
+def read_member(data: memoryview, at: int) -> tuple[bytes, int, bool] | None:
+    """The content of the gzip member at a place, where it ends, and whether the archive holds all of it; None if its CRC or its form is wrong."""
+    unpacker, out, fed, step = zlib.decompressobj(31), [], at, 1024  # a small step first, as most false starts break at once
     try:
         while not unpacker.eof and fed < len(data):
-            out.append(unpacker.decompress(data[fed : fed + 65536]))
-            fed += 65536
+            out.append(unpacker.decompress(data[fed : fed + step]))
+            fed, step = fed + step, 65536
     except zlib.error:
         return None
-    return (b"".join(out), min(fed, len(data)) - len(unpacker.unused_data)) if unpacker.eof else None
+    return b"".join(out), min(fed, len(data)) - len(unpacker.unused_data), unpacker.eof
 
 
 def read_record(data: bytes, at: int) -> tuple[dict, bytes, int] | str:
@@ -180,9 +182,14 @@ def salvage(data: bytes) -> Iterator[tuple]:
     """(begin, end, headers, block, None) of each record and (begin, end, None, None, reason) of each gap, in order."""
     view, at, gap, why = memoryview(data), 0, None, ""
 
+    starts = {GZIP: -1, b"WARC/1.": -1}
+
     def next_start(after: int) -> int:
-        found = [x for x in (data.find(GZIP, after), data.find(b"WARC/1.", after)) if x >= 0]
-        return min(found, default=len(data))
+        for mark, place in starts.items():
+            if place < after:  # else the place found before still holds
+                found = data.find(mark, after)
+                starts[mark] = found if found >= 0 else len(data)
+        return min(starts.values())
 
     while at < len(data):
         found, end, reason = [], at, ""
@@ -190,9 +197,18 @@ def salvage(data: bytes) -> Iterator[tuple]:
             member = read_member(view, at)
             if member is None:
                 reason = "gzip"
-            else:
-                content, end = member
+            elif member[2]:
+                content, end, _ = member
                 found, reason = salvage_content(content)
+            else:
+                reason = "gzip"
+                # The end is missing, and with it the CRC: records before it are taken if their own digest proves them.
+                for head, block, lost in salvage_content(member[0])[0]:
+                    if lost is None and head.get("warc-block-digest", "").startswith("sha1:"):
+                        if gap is not None:
+                            yield gap, at, None, None, why
+                            gap = None
+                        yield at, at, head, block, None
         else:
             got = read_record(data, at)
             if isinstance(got, str):
