@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, lines, mixing, ngram, pii, secrets, warc, winnow
+from . import ann, bpe, langid, lexical, lines, mining, mixing, ngram, pii, secrets, warc, winnow
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -77,6 +77,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shuffled(mixed).select("doc_id", "source", "text", "copy_no", "place")
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mining.mine(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, label=label)
+
+
 OP10_SQL = """
 with d as (select doc_id, source, text, md5(coalesce(text, '')) as h from documents),
 r as (select source, count(*)::double as n, case source when 'src0' then 0.5 when 'src1' then 20.0 when 'src2' then 3.0 when 'src3' then 0.0 else 1.0 end::double as w from d group by source),
@@ -120,10 +129,36 @@ select page_id, n::bigint as payload_bytes,
 from s
 """
 
+OP12_SQL = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+q as (select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+qn as (select item_id, t, count(*)::bigint as times from q group by item_id, t),
+c as (select count(*) filter (where len(ts) > 0)::bigint as n_docs, sum(len(ts))::bigint as total from d),
+x as (select doc_id, len(ts)::bigint as n, unnest(ts) as t from d),
+f as (select doc_id, n, t, count(*)::bigint as tf from x where t in (select t from qn) group by doc_id, n, t),
+w as (select t, floor(1000 * ln(((2 * n_docs + 2)::double) / ((2 * count(*) + 1)::double)))::bigint as w from f, c group by t, n_docs),
+s as (select item_id, doc_id, sum(w * times * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // total))))::bigint as score
+      from f join w using (t) join qn using (t), c group by item_id, doc_id)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from s where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10
+"""
+
+OP13_SQL = """
+with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+           from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::bigint as score
+      from r a join r b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.vec_id % 50 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank, vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 3
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_bpe, op4_pii, op5_secrets, op6_line_dedup, op7_ann, op8_langid, op9_winnow, op10_mixing)}
+    return {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_bpe, op4_pii, op5_secrets, op6_line_dedup, op7_ann, op8_langid, op9_winnow, op10_mixing, op12_lexical, op13_mining)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_ngram_join": OP2_SQL, "op10_mixing": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op2_ngram_join": OP2_SQL, "op10_mixing": OP10_SQL, "op12_lexical": OP12_SQL, "op13_mining": OP13_SQL}
