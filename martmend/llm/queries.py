@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, lexical, lines, mining, mixing, ngram, pii, secrets, warc, winnow
+from . import ann, bpe, langid, lexical, lines, mining, mixing, ngram, pii, secrets, warc, winnow, wrapper
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -77,6 +77,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shuffled(mixed).select("doc_id", "source", "text", "copy_no", "place")
 
 
+def op11_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrapper.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -157,7 +162,7 @@ qualify row_number() over (partition by anchor_id, positive_id order by score de
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_bpe, op4_pii, op5_secrets, op6_line_dedup, op7_ann, op8_langid, op9_winnow, op10_mixing, op12_lexical, op13_mining)}
+    return {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_bpe, op4_pii, op5_secrets, op6_line_dedup, op7_ann, op8_langid, op9_winnow, op10_mixing, op11_extract, op12_lexical, op13_mining)}
 
 
 def oracle_sql() -> dict[str, str]:
