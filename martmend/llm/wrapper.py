@@ -4,11 +4,11 @@ is content.
 A page is read into a tree of block elements, in which siblings of one kind (tag, class words, id and role, without digits) are
 folded into one node; the shape of that tree is the page's outline. The distinct outlines of a host are merged into its wrapper
 by simple tree matching: children are aligned in order so that as many nodes as possible match, and nodes without partner
-are put in between. Every node of a page then has its slot in the wrapper. Spark counts over all pages of the host how often a
-block of text stands in a slot, by families of pages: pages that share their longest block count once, so that copies of an
-article don't look like a template.
+are put in between. Every node of a page then has its slot in the wrapper. Spark counts on how many different pages of the host
+a block of text stands in a slot.
 
-* A block that stands in a slot of at least ``SHARE`` of the host's families, and of ``FAMILIES``, is template.
+* A block that stands in a slot on at least ``SHARE`` of the host's pages, and on ``PAGES``, is template, if these pages are no
+  copies of each other: ``OWN`` of their text is on no more than two pages of the host. Main headings are no template.
 * Of the rest, elements that say themselves what they are (navigation, header, footer, form, advert, comments, ...) go, unless
   they hold the article; so do slots outside the article that are mostly links.
 * Content is what stands below ``article`` or ``main`` elements if these have a fair part of the host's varying text, otherwise
@@ -16,7 +16,7 @@ article don't look like a template.
 
 Outlines are merged in salted parts of a host and then those parts, one by one in sorted order, so a task holds a single wrapper and
 an outline however many pages a host has. The decisions for outlines are broadcast if their measured size allows it, and joined
-otherwise. A host with few families has no template; its pages are judged by the other rules.
+otherwise. A host of few pages has no template; its pages are judged by the other rules.
 
 Defined results: html that is null, empty or without text has an empty text; references are decoded, also without semicolon where
 HTML allows that; markup that is not closed, or cut off, is read as far as it goes; elements nested deeper than ``DEPTH`` count as
@@ -35,14 +35,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, free_name
 
-SHARE, FAMILIES = 0.5, 4
+SHARE, PAGES, OWN = 0.5, 4, 0.3
 #: Parts of a host in which outlines are merged first, depth of a tree, bytes of decisions that are broadcast.
 SALTS, DEPTH, BROADCAST = 16, 200, 16 << 20
 #: Part of the varying text that article elements must have, and that the deepest node must have; part of links in a menu.
 FAIR, MOST, LINKS = 0.25, 0.75, 0.7
+#: Marks the content of a main heading.
+HEADING = 2
 
 # Element names of HTML by role, and words of class names, ids and roles by which sites mark what is no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -309,8 +312,8 @@ def digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def decided(outline: Tree, slots: list[int], wrapper: Tree, stats: dict[int, tuple[int, int, int]]) -> list[bool]:
-    """For each node of an outline whether its text is content, by the host's wrapper and each slot's (characters, of links, of template)."""
+def decided(outline: Tree, slots: list[int], wrapper: Tree, stats: dict[int, tuple[int, int, int]]) -> list[int]:
+    """For each node of an outline whether its text is content (1, or HEADING), by the host's wrapper and each slot's (characters, of links, of template)."""
     gone = left_out(outline)
     varying = [0] * len(wrapper.labels)
     for n, (chars, links, same) in stats.items():
@@ -339,10 +342,11 @@ def decided(outline: Tree, slots: list[int], wrapper: Tree, stats: dict[int, tup
     menu = [(s := stats.get(n)) is not None and s[1] >= LINKS * s[0] for n in slots]
     kept = [inside[i] and not gone[i] and (semantic or not menu[i]) for i in range(len(slots))]
     if not any(kept[i] and slots[i] in stats for i in range(len(slots))):
-        return [not gone[i] and not menu[i] for i in range(len(slots))]
-    if not any(kept[i] and _tag(outline.labels[i]) == "h1" for i in range(len(slots))):
-        kept = [kept[i] or (_tag(outline.labels[i]) == "h1" and not gone[i]) for i in range(len(slots))]
-    return kept
+        return [int(not gone[i] and not menu[i]) for i in range(len(slots))]
+    heading = [_tag(label) == "h1" and not out for label, out in zip(outline.labels, gone, strict=True)]
+    if not any(k and h for k, h in zip(kept, heading, strict=True)):
+        kept = [k or h for k, h in zip(kept, heading, strict=True)]
+    return [HEADING if k and h else int(k) for k, h in zip(kept, heading, strict=True)]
 
 
 def _above(tree: Tree, upper: int, node: int) -> bool:
@@ -354,7 +358,7 @@ def _above(tree: Tree, upper: int, node: int) -> bool:
 
 
 def _facts(pages: DataFrame) -> DataFrame:
-    """A row for each outline of a task (outline), and one for each block outside of elements that are left out (node, block, family)."""
+    """A row for each outline of a task (outline), and one for each block outside of elements that are left out (node, block, version of the page)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, list[bool]]] = {}
@@ -373,12 +377,13 @@ def _facts(pages: DataFrame) -> DataFrame:
                     told.add((host, number))
                     out.append((host, number, text, None, None, None, None, None))
                 blocks = [b for b in blocks if not gone[b[0]]]
-                family = digest(max((t for _, t, _ in blocks), key=len, default=""))
-                out += [(host, number, None, n, digest(t), family, len(t), links) for n, t, links in blocks]
+                hashes = [digest(t) for _, t, _ in blocks]
+                version = xxhash.xxh3_64_intdigest(repr((number, hashes))) - (1 << 63)
+                out += [(host, number, None, n, h, version, len(t), links) for h, (n, t, links) in zip(hashes, blocks, strict=True)]
             kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], ["host", "number", "outline", "node", "block", "family", "chars", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], ["host", "number", "outline", "node", "block", "version", "chars", "links"])
 
-    return pages.select("host_", "html_").mapInArrow(read, "host string, number long, outline string, node int, block long, family long, chars long, links long")
+    return pages.select("host_", "html_").mapInArrow(read, "host string, number long, outline string, node int, block long, version long, chars long, links long")
 
 
 def _folded(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -428,14 +433,20 @@ def rules(pages: DataFrame) -> DataFrame:
     facts = cut(_facts(pages), "wrapper-facts")
     outlines = cut(facts.where("outline is not null").groupBy("host", "number").agg(F.min("outline").alias("outline")), "wrapper-outlines")
     slots = cut(_slots(outlines, cut(wrappers(outlines), "wrapper-trees")), "wrapper-slots")
-    blocks = facts.where("node is not null").groupBy("host", "number", "node", "block", "family").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    # One outline may have most pages, so each one's blocks are dealt to several tasks.
-    salted = slots.select("host", "number", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    blocks = blocks.withColumn("salt", F.pmod("block", F.lit(SALTS))).join(salted, ["host", "number", "salt"]).withColumn("slot", F.get("slots", F.col("node")))
-    blocks = cut(blocks.groupBy("host", "slot", "block", "family").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links")), "wrapper-blocks")
-    families = blocks.select("host", "slot", "family").distinct().groupBy("host", "slot").agg(F.count(F.lit(1)).alias("families"))
-    shared = blocks.groupBy("host", "slot", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("same")).where(F.col("n") >= FAMILIES)
-    template = cut(shared.join(families, ["host", "slot"]).where(F.col("n") >= SHARE * F.col("families")).select("host", "slot", "block", "same"), "wrapper-template")
+    # One outline, and one block, may be on most pages, so what is joined to them is dealt to several tasks.
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    rows = facts.where("node is not null").groupBy("host", "number", "node", "block", "version").agg(F.max("chars").alias("chars"), F.max("links").alias("links"))
+    rows = rows.withColumn("salt", F.pmod("version", F.lit(SALTS))).join(slots.select("host", "number", "slots", salts.alias("salt")), ["host", "number", "salt"])
+    blocks = cut(rows.select("host", F.get("slots", F.col("node")).alias("slot"), "block", "version", "chars", "links", "salt"), "wrapper-blocks")
+    held = blocks.select("host", "slot", "version").distinct().groupBy("host", "slot").agg(F.count(F.lit(1)).alias("versions"))
+    often = blocks.groupBy("host", "slot", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("same")).where(F.col("n") >= PAGES)
+    often = cut(often.join(held, ["host", "slot"]).where(F.col("n") >= SHARE * F.col("versions")), "wrapper-often")
+    # Pages that share most of their text with others are copies, and show no template.
+    common = blocks.groupBy("host", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("host", "block", salts.alias("salt"), F.lit(True).alias("common"))
+    own = blocks.join(common, ["host", "block", "salt"], "left").groupBy("host", "version").agg(F.sum(F.when(F.col("common"), 0).otherwise(F.col("chars"))).alias("own"), F.sum("chars").alias("all"))
+    shown = blocks.join(often.select("host", "slot", "block", salts.alias("salt")), ["host", "slot", "block", "salt"]).select("host", "slot", "block", "version").join(own, ["host", "version"])
+    shown = shown.groupBy("host", "slot", "block").agg(F.sum("own").alias("own"), F.sum("all").alias("all")).where(F.col("own") >= OWN * F.col("all"))
+    template = cut(often.join(shown, ["host", "slot", "block"]).select("host", "slot", "block", "same"), "wrapper-template")
     figures = blocks.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     figures = figures.join(template.groupBy("host", "slot").agg(F.sum("same").alias("same")), ["host", "slot"], "left")
     stats = figures.groupBy("host").agg(F.collect_list(F.struct("slot", "chars", "links", F.coalesce("same", F.lit(0)).alias("same"))).alias("stats"))
@@ -453,7 +464,7 @@ def rules(pages: DataFrame) -> DataFrame:
 def _content(html: str | None, rule) -> str:
     text, blocks = Reader.page(html)
     kept, template = rule(digest(text))
-    return " ".join(t for n, t, _ in blocks if kept[n] and not (template and digest(t) in template))
+    return " ".join(t for n, t, _ in blocks if kept[n] and not (template and kept[n] != HEADING and digest(t) in template))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
@@ -489,7 +500,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
                 text = [_content(h, lambda _, k=k, t=t: (k, set(t or ()))) for h, k, t in rows]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(text, pa.string())], [*keep, out])
 
-        numbered = given.mapInArrow(number, given.schema.add(key, "long"))
+        numbered = given.mapInArrow(number, T.StructType([*given.schema, T.StructField(key, T.LongType())]))
         source = numbered.join(held.withColumnsRenamed({"host": "host_", "number": key}), ["host_", key])
     keep = [c for c in pages.columns if c != out]
-    return source.mapInArrow(read, pages.select(*keep).schema.add(out, "string"))
+    return source.mapInArrow(read, T.StructType([*pages.select(*keep).schema, T.StructField(out, T.StringType())]))
