@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from .functions import leaks, scalars
 from .operators import checks, compare, keys, lineage, repair
+from .operators.workspace import Workspace, settled
 from .plans import cover, spec
+from .sources import files
 from .streaming import batchlog, cdc
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,17 +195,20 @@ def candidates_extra(spark, path):
 @query(f"select (select count(*) from customer) as before_entities, (select count(*) from customer) as after_entities, (select count(*) from {L_CANDIDATES}) as candidates, (select count(*) from {L_CHANGED}) as changed, 0::bigint as missing, (select count(*) from {L_CANDIDATES}) - (select count(*) from {L_CHANGED}) as extra, 0::bigint as mismatched_rows, true as passed")
 def change_proof(spark, path):
     src, found, before, after = _left(spark, path)
-    fixed = repair.repaired(before, spec.targeted(left_mart(NEW), src, found), found, "c_custkey")
-    return compare.change_proof(before, after, found, fixed, "c_custkey")
+    with Workspace(spark) as work:
+        found = work.put("keys", found)
+        head = work.put("head", spec.targeted(left_mart(NEW), src, found))
+        return settled(compare.change_proof(before, after, found, head, "c_custkey"))
 
 
 @query(f"select (select count(*) from {I_OLD}) as before_entities, (select count(*) from {I_NEW}) as after_entities, count(*)::bigint as candidates, count(*)::bigint as changed, 0::bigint as missing, 0::bigint as extra, 0::bigint as mismatched_rows, true as passed from {I_CHANGED}")
 def mutation_proof(spark, path):
     src = sources(spark, path, "customer", "orders")
     before, after = (spec.build_mart(inner_mart(p), src) for p in (VANISH_OLD, VANISH_NEW))
-    found = cover.candidate_keys(inner_mart(VANISH_OLD), inner_mart(VANISH_NEW), src).keys
-    fixed = repair.repaired(before, spec.targeted(inner_mart(VANISH_NEW), src, found), found, "c_custkey")
-    return compare.mutation_proof(before, after, found, fixed, "c_custkey")
+    with Workspace(spark) as work:
+        found = work.put("keys", cover.candidate_keys(inner_mart(VANISH_OLD), inner_mart(VANISH_NEW), src).keys)
+        head = work.put("head", spec.targeted(inner_mart(VANISH_NEW), src, found))
+        return settled(compare.mutation_proof(before, after, found, head, "c_custkey"))
 
 
 # ---------------------------------------------------------------- other changes
@@ -321,6 +326,19 @@ def mart_baseline(spark, path):
     return repair.verify_baseline(before, after, "c_custkey")
 
 
+@query(f"select count(*) filter (where b.n_orders is null) as missing_rows, count(*) filter (where a.n_orders is null) as extra_rows, count(*) filter (where a.total_cents <> b.total_cents) as mismatched_rows, 0::bigint as duplicate_keys, null::varchar as reason, 'MATCHED' as status from {L_OLD} a full join {L_OLD} b on a.c_custkey = b.c_custkey")
+def mart_baseline_equal(spark, path):
+    """A mart that equals the full old result: told from bucket digests alone, no rows are joined."""
+    return repair.verify_baseline(_left(spark, path)[2], mart_left(spark, path), "c_custkey")
+
+
+@query(f"select count(*) filter (where d.c_custkey is null) as missing_rows, count(*) filter (where m.c_custkey is null) as extra_rows, count(*) filter (where d.n_orders <> m.n_orders) as mismatched_rows, 0::bigint as duplicate_keys, 'ROWS_DIFFER' as reason from {{damaged}} d full join {L_OLD} m on d.c_custkey = m.c_custkey".format(damaged=f"(select c_custkey, case when c_custkey % 110 = 0 then n_orders + 1 else n_orders end as n_orders, total_cents from {L_OLD} where c_custkey % 130 <> 1)"))
+def compare_by_buckets(spark, path):
+    good = mart_left(spark, path)
+    damaged = good.where("c_custkey % 130 <> 1").withColumn("n_orders", F.expr("if(c_custkey % 110 = 0, n_orders + 1, n_orders)"))
+    return compare.compare_by_buckets(damaged, good, "c_custkey")
+
+
 @query(f"select c_custkey from {L_CHANGED}")
 def confirmed_keys(spark, path):
     src, found, _, _ = _left(spark, path)
@@ -385,7 +403,7 @@ def fallback_proofs(spark, path):
 _EVENTS_SQL = """(select 'c' || c_custkey as event_id, 'customer' as source_model, c_custkey::varchar as entity_value, case when c_custkey % 2 = 0 then (c_custkey + 1)::varchar end as prior_entity_value, c_custkey as position from customer
 union all select 'o' || o_orderkey, 'orders', o_orderkey::varchar, case when o_orderkey % 2 = 0 then ((o_custkey + 1) % (select count(*) from customer))::varchar end, 10000000000 + o_orderkey from orders
 union all select 'l' || l_orderkey || '.' || l_linenumber, 'lineitem', l_orderkey::varchar, null, 20000000000 + l_orderkey * 10 + l_linenumber from lineitem)"""
-ROUTES = {"customer": keys.Route("direct", "c_custkey"), "orders": keys.Route("same_row", "order_id", (("orders_by_id", "order_id"),)), "lineitem": keys.Route("path", "line_id", (("lineitem", "l_orderkey"), ("orders", "o_orderkey"), ("orders", "o_custkey"), ("customer", "c_custkey")))}
+ROUTES = {"customer": keys.Route("direct", "c_custkey"), "orders": keys.Route("path", "order_id", (("orders", "o_orderkey"), ("orders", "o_custkey"))), "lineitem": keys.Route("path", "line_id", (("lineitem", "l_orderkey"), ("orders", "o_orderkey"), ("orders", "o_custkey"), ("customer", "c_custkey")))}
 
 
 def change_feed(spark, path) -> DataFrame:
@@ -398,8 +416,7 @@ def change_feed(spark, path) -> DataFrame:
 
 
 def _route_tables(spark, path) -> dict[str, DataFrame]:
-    t = sources(spark, path, "customer", "orders", "lineitem")
-    return {**t, "orders_by_id": t["orders"].select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("c_custkey"))}
+    return sources(spark, path, "customer", "orders", "lineitem")
 
 
 def _of(events: DataFrame, name: str) -> DataFrame:
@@ -437,7 +454,8 @@ select entity_value, arg_min(reason, (late, p, step, reason)) as reason from r g
 
 @query(f"select * from {_AFFECTED_SQL}")
 def affected_entities(spark, path):
-    return keys.affected_entities(change_feed(spark, path), ROUTES, _route_tables(spark, path), "c_custkey", "customer")
+    with Workspace(spark) as work:  # a feed is a table; it is derived only here
+        return settled(keys.affected_entities(work.put("feed", change_feed(spark, path)), ROUTES, _route_tables(spark, path), "c_custkey", "customer", work=work))
 
 
 @query(f"select entity_value, row_number() over (order by entity_value::bigint) as place from {_AFFECTED_SQL}")
@@ -546,7 +564,8 @@ def cdc_unresolved(spark, path):
 def cdc_proof(spark, path):
     src = sources(spark, path, "customer", "orders")
     routed = cdc.route_cdc(logical_events(spark, path))
-    return batchlog.prove_cdc(routed, lambda k: spec.targeted(left_mart(NEW), src, k), mart_left(spark, path), "c_custkey")[0]
+    with Workspace(spark) as work:
+        return settled(batchlog.prove_cdc(routed, lambda k: spec.targeted(left_mart(NEW), src, k), mart_left(spark, path), "c_custkey", work)[0])
 
 
 def _batches(spark, path) -> DataFrame:
@@ -574,6 +593,62 @@ def latest_state(spark, path):
     return keys.latest(Tables(spark, path)["events"], ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "ts")
 
 
+def _moves(spark, path) -> DataFrame:
+    """States of a batch per customer, from that customer's orders: the status by the order's."""
+    status = "case o_orderstatus when 'F' then 'COMPLETED' when 'O' then 'CAPTURED' else 'FAILED' end"
+    return Tables(spark, path)["orders"].selectExpr("concat('b', o_custkey) as batch_id", "concat('p', o_custkey % 40) as project_name", "concat('s', o_custkey % 3) as stream_relation", "cast(o_orderkey as bigint) as seq", f"{status} as status", "cast(o_orderdate as timestamp) as started_at", "cast(o_orderdate as timestamp) as completed_at", "o_orderkey % 3 = 0 as repair_applied", "cast(o_orderdate as timestamp) as at")
+
+
+_LATEST_SQL = "(select 'b' || o_custkey as batch_id, 'p' || (o_custkey % 40) as project_name, 's' || (o_custkey % 3) as stream_relation, o_orderkey::bigint as seq, case o_orderstatus when 'F' then 'COMPLETED' when 'O' then 'CAPTURED' else 'FAILED' end as status, o_orderdate::timestamp as started_at, o_orderkey % 3 = 0 as repair_applied from orders o where not exists (select 1 from orders x where x.o_custkey = o.o_custkey and x.o_orderkey > o.o_orderkey))"
+
+
+@query(f"select batch_id, status, seq from {_LATEST_SQL} where status <> 'COMPLETED' order by started_at, batch_id limit 1")
+def oldest_pending(spark, path):
+    return batchlog.oldest_pending(_moves(spark, path)).select("batch_id", "status", "seq")
+
+
+@query(f"select batch_id, seq from {_LATEST_SQL} where status = 'COMPLETED' and batch_id not in (select 'b' || c_custkey from customer where c_acctbal > 5000) order by started_at desc, batch_id desc limit 1")
+def newest_unpublished(spark, path):
+    published = Tables(spark, path)["customer"].where("c_acctbal > 5000").select(F.concat(F.lit("b"), "c_custkey").alias("batch_id"))
+    return batchlog.newest_unpublished(_moves(spark, path), published).select("batch_id", "seq")
+
+
+@query(f"select a.batch_id, min(b.batch_id) as blocked_by from {_LATEST_SQL} a join {_LATEST_SQL} b on a.project_name = b.project_name and a.batch_id <> b.batch_id where a.status <> 'COMPLETED' and b.status = 'COMPLETED' and not b.repair_applied group by 1")
+def stale_batches(spark, path):
+    return batchlog.stale_pairs(_moves(spark, path))
+
+
+@query(f"select l.batch_id, l.project_name, l.stream_relation, l.seq, l.status, l.repair_applied, p.n as candidate_count, case when p.n % 2 = 0 then 'passed' else 'failed' end as validation_status from {_LATEST_SQL} l join (select 'b' || c_custkey as b, c_nationkey::bigint as n from customer) p on p.b = l.batch_id where l.stream_relation = 's1' and l.status = 'COMPLETED'")
+def batch_list(spark, path):
+    proofs = Tables(spark, path)["customer"].selectExpr("concat('b', c_custkey) as batch_id", "cast(c_nationkey as bigint) as candidate_count", "if(c_nationkey % 2 = 0, 'passed', 'failed') as validation_status", "true as repair_applied")
+    found = batchlog.list_batches(_moves(spark, path), proofs, stream="s1", status="COMPLETED")
+    return found.select("batch_id", "project_name", "stream_relation", "seq", "status", "repair_applied", "candidate_count", "validation_status")
+
+
+@query("with c as (select o_orderpriority, count(*) filter (where b = 3) as i, count(*) filter (where b < 2) as u, count(*) filter (where b = 2) as d from (select o_orderpriority, o_orderkey % 50 as b from orders where o_orderkey % 50 < 4) group by 1) select o_orderpriority, sha256('orders|orders_stream|' || i || '|' || u || '|' || d) as fingerprint from c")
+def relation_fingerprints(spark, path):
+    row = cdc_counts_by_source(spark, path)
+    return row.select("o_orderpriority", scalars.relation_fingerprint(F.lit("orders"), F.lit("orders_stream"), *[F.col(n) for n in ("inserts", "updates", "deletes")]).alias("fingerprint"))
+
+
+@query("select l_orderkey as run_id, count(distinct i) = 1 and count(i) = count(*) as consistent from (select l_orderkey, case when l_linenumber % 4 <> 0 or l_quantity <= 45 then l_returnflag end as i from lineitem) group by 1")
+def pin_consistency(spark, path):
+    return files.pin_consistent(Tables(spark, path)["lineitem"].selectExpr("l_orderkey as run_id", "l_linenumber as phase", "if(l_linenumber % 4 <> 0 or l_quantity <= 45, l_returnflag, null) as identifier"))
+
+
+@query("select 'e' || event_id as event_id, 'clicks' as source_model, nullif(trim(event_type), '') as operation, 'user_id' as entity_key, user_id::varchar as entity_value, case when event_id % 3 <> 0 then (user_id + 1)::varchar end as prior_entity_value from events")
+def read_events(spark, path):
+    raw = Tables(spark, path)["events"].selectExpr("concat(' e', event_id, ' ') as eventId", "'clicks' as source_model", "event_type as operation", "'user_id' as entityKey", "user_id as entity_value", "if(event_id % 3 = 0, '  ', cast(user_id + 1 as string)) as prior_customer_id")
+    return files.change_events(raw)
+
+
+@query("select event_id, 'customer_id' as field from events where event_id % 3 = 0 union all select event_id, 'secret' from events where event_id % 5 = 0")
+def forbidden_fields(spark, path):
+    inner = "if(event_id % 3 = 0, concat('{\"customer_id\": ', user_id, '}'), '\"customer_id\"')"
+    row = Tables(spark, path)["events"].selectExpr("event_id", f"concat('{{\"a\": ', {inner}, ', \"', if(event_id % 5 = 0, 'secret', 'note'), '\" : \"customer_id: 1\"}}') as json")
+    return leaks.forbidden_fields(row, "event_id", "json", ["customer_id", "secret"])
+
+
 # ---------------------------------------------------------------- scalars
 _SECRET = "not a secret"
 _IPAD, _OPAD = (bytes(b ^ x for b in _SECRET.encode().ljust(64, b"\0")).hex() for x in (0x36, 0x5C))
@@ -703,6 +778,14 @@ def key_profile(spark, path):
     return checks.profile_keys(Tables(spark, path)["orders"], ["o_orderkey", "o_custkey", "o_orderstatus"])
 
 
+@query("select c as column_name, 0::bigint as null_count, d = n as is_unique from (select 'o_orderkey' as c, count(distinct o_orderkey) as d, count(*) as n from orders union all select 'o_custkey', count(distinct o_custkey), count(*) from orders union all select 'o_orderstatus', count(distinct o_orderstatus), count(*) from orders union all select 'o_totalprice', count(distinct o_totalprice), count(*) from orders)")
+def unique_columns(spark, path):
+    """From sketches by order status that are merged, with exact counts only where these leave it open."""
+    orders, cols = Tables(spark, path)["orders"], ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+    found = checks.unique_columns(orders, cols, checks.key_sketches(orders, cols, ["o_orderstatus"]))
+    return found.select("column_name", "null_count", "is_unique")
+
+
 # ---------------------------------------------------------------- catalogs and lineage derived from parts and schemas
 def _edges(spark, path) -> DataFrame:
     """Each part below the one with half its number."""
@@ -765,3 +848,18 @@ def derived_routes(spark, path):
         unique = one if unique is None else unique.union(one)
     edges = spark.createDataFrame([("customer", "orders"), ("orders", "lineitem"), ("nation", "customer"), ("customer", "lineitem")], "parent string, child string")
     return lineage.derive_routes(columns, edges, unique, "custkey")
+
+
+@query("""with recursive e as (select p_partkey as i, p_partkey // 2 as j, (p_partkey // 2) % 7 <> 0 as c, p_partkey % 5 = 0 as x from part where p_partkey > 1),
+r(i, route, cols, amb) as (select 1::bigint, 'p1', '', false union all
+select e.i::bigint, 'p' || e.i || ' -> ' || route, case when c and x then '?' when c then 'c' || j else 'x' || j end || case when cols <> '' then ', ' || cols else '' end, amb or (c and x) from e join r on e.j = r.i where c or x)
+select 'p' || e.i as upstream, case when r.i is null then 'UNRESOLVED' when amb then 'AMBIGUOUS' else 'VERIFIED' end as status, route, cols as join_columns from e left join r on r.i = e.i""")
+def route_chains(spark, path):
+    """Chains of routes to one table from a table per part, each of which has a link to that with half its number: the columns and
+    their uniqueness decide which hops are known."""
+    part = Tables(spark, path)["part"].where("p_partkey > 0").selectExpr("p_partkey as i", "p_partkey div 2 as j")
+    own = part.selectExpr("concat('p', i) as table_name", "explode(array(concat('c', i), concat('x', i))) as column_name")
+    link = part.where("i > 1").selectExpr("concat('p', i) as table_name", "explode(if(i % 5 = 0, array(concat('c', j), concat('x', j)), array(concat('c', j)))) as column_name")
+    unique = part.selectExpr("concat('p', i) as table_name", "explode(if(i % 7 <> 0, array(concat('c', i), concat('x', i)), array(concat('x', i)))) as column_name")
+    edges = part.where("i > 1").selectExpr("concat('p', i) as parent", "concat('p', j) as child")
+    return lineage.derive_chains(lineage.derive_routes(own.union(link), edges, unique, "none"), "p1")

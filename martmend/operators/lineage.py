@@ -6,30 +6,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.frames import union_all
 from ..functions.scalars import text_fingerprint
-from .workspace import Workspace, shared_base
+from .workspace import Workspace, settled
 
 
-def closure(edges: DataFrame, start: list[str], direction: str = "down") -> DataFrame:
-    """node: all nodes reachable from start over edges (parent, child), start itself left out unless on a cycle.
+#: Pairs of a level of shortcuts, for each edge, beyond which no longer shortcuts are made.
+GROWTH = 4
+#: Tables of found nodes after which they are made one.
+TABLES = 8
 
-    Each round follows the edges of the nodes that the round before found and keeps those not reached yet, until there are none."""
-    a, b = ("parent", "child") if direction == "down" else ("child", "parent")
-    spark = edges.sparkSession
-    work = Workspace(spark, shared_base(spark))
-    steps = edges.select(F.col(a).alias("from_"), F.col(b).alias("node"))
-    schema = T.StructType([T.StructField("node", steps.schema["node"].dataType)])
 
-    def reached(rounds: int) -> DataFrame:
-        return spark.read.schema(schema).parquet(*[f"{work.path}/{i}" for i in range(rounds)])
+def reach(edges: DataFrame, seeds: DataFrame, rounds: list | None = None) -> DataFrame:
+    """seeds (node, and any other columns as a tag) with each node reachable from them over edges (parent, child), by tag.
 
-    found = work.put("0", steps.where(F.col("from_").isin(list(start))).select("node").where("node is not null").distinct())
-    rounds = 1
-    while not found.isEmpty():
-        following = steps.join(found.withColumnRenamed("node", "from_"), "from_", "left_semi").select("node").where("node is not null").distinct()
-        found = work.put(str(rounds), following.join(reached(rounds), "node", "left_anti"))
-        rounds += 1
-    return reached(rounds)
+    Path doubling: level k holds the pairs that are 2**k steps apart, and made from level k - 1; what is reached within fewer than 2**k
+    steps, joined to it, gives what is reached within fewer than 2**(k + 1). So a path of n steps takes about log2(n) rounds. In
+    graphs with very many paths a level may become much larger than the edges; then no further one is made, and each round goes
+    on by the steps of the last one from the nodes that the round before found. What the rounds found is kept in at most ``TABLES``
+    tables, which are then made one. ``rounds`` gets a number for each round.
+    """
+    spark = edges.sparkSession
+    tag = [c for c in seeds.columns if c != "node"]
+    with Workspace(spark) as work:
+        level = work.put("level-0", edges.select(F.col("parent").alias("node"), F.col("child").alias("next")).where("node is not null and next is not null").distinct())
+        most = GROWTH * level.count()
+        start = work.put("seeds", seeds.select(*tag, "node").where("node is not null").distinct())
+        nothing = spark.createDataFrame([], T.StructType([start.schema[c] for c in start.columns[:-1]] + [T.StructField("node", level.schema["next"].dataType)]))
+        found, from_, doubling, k, tables = nothing, start, True, 0, []
+        while True:
+            following = from_.join(level, "node").select(*tag, F.col("next").alias("node")).distinct()
+            fresh = work.put(f"fresh-{k}", following.join(found, [*tag, "node"], "left_anti"))
+            if rounds is not None:
+                rounds.append(k)
+            if fresh.isEmpty():
+                break
+            tables.append(f"{work.path}/fresh-{k}")
+            found = spark.read.schema(fresh.schema).parquet(*tables)
+            if len(tables) > TABLES:
+                found, tables = work.put(f"found-{k}", found), [f"{work.path}/found-{k}"]
+            if doubling:
+                ahead = level.join(level.select(F.col("node").alias("next"), F.col("next").alias("end")), "next").select("node", F.col("end").alias("next")).distinct()
+                longer = work.put(f"level-{k + 1}", ahead)
+                doubling = longer.count() <= most
+                level = longer if doubling else level
+            # Nodes nearer than the steps of the level that comes next; without a further one, those that are new.
+            from_ = union_all(start.select(*tag, "node"), found) if doubling else fresh
+            k += 1
+        return settled(found)
+
+
+def closure(edges: DataFrame, start: list[str], direction: str = "down", rounds: list | None = None) -> DataFrame:
+    """node: all nodes reachable from start over edges (parent, child), start itself left out unless on a cycle."""
+    steps = edges if direction == "down" else edges.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+    seeds = edges.sparkSession.createDataFrame([(n,) for n in start], T.StructType([T.StructField("node", edges.schema["parent"].dataType)]))
+    return reach(steps, seeds, rounds)
+
+
+def descendants(edges: DataFrame, of: DataFrame | None = None, rounds: list | None = None) -> DataFrame:
+    """(ancestor, node) for every pair, or those whose ancestor is in ``of``, for any graph; on a cycle a node is its own descendant."""
+    of = edges.select("parent") if of is None else of
+    name = F.col(of.columns[0])
+    return reach(edges, of.select(name.alias("ancestor"), name.alias("node")), rounds)
 
 
 def catalog_fingerprint(df: DataFrame, key: str, fingerprint: str) -> DataFrame:
@@ -48,29 +86,10 @@ def catalog_diff(base: DataFrame, head: DataFrame, key: str, text: str, edges: D
     out = met.select(F.coalesce("k_a", "k_b").alias(key), change.alias("change")).where("change is not null")
     if edges is None:
         return out
-    below = descendants(edges).withColumnRenamed("ancestor", key).groupBy(key).agg(F.sort_array(F.collect_set("node")).alias("downstream"))
+    below = descendants(edges, out.select(key)).withColumnRenamed("ancestor", key).groupBy(key).agg(F.sort_array(F.collect_set("node")).alias("downstream"))
     return out.join(below, key, "left").withColumn("downstream", F.coalesce("downstream", F.array().cast("array<string>")))
 
 
-def descendants(edges: DataFrame) -> DataFrame:
-    """(ancestor, node) for every pair, for any graph; on a cycle a node is its own descendant. Each round adds one step to the pairs
-    that the round before found and keeps those not found yet."""
-    spark = edges.sparkSession
-    work = Workspace(spark, shared_base(spark))
-    steps = edges.select(F.col("parent").alias("node"), F.col("child").alias("next")).where("node is not null and next is not null").distinct()
-    found = work.put("0", steps.select(F.col("node").alias("ancestor"), F.col("next").alias("node")))
-
-    def reached(rounds: int) -> DataFrame:
-        return spark.read.schema(found.schema).parquet(*[f"{work.path}/{i}" for i in range(rounds)])
-
-    rounds, fresh = 1, found
-    while not fresh.isEmpty():
-        following = fresh.join(steps, "node").select("ancestor", F.col("next").alias("node")).distinct()
-        fresh = work.put(str(rounds), following.join(reached(rounds), ["ancestor", "node"], "left_anti"))
-        rounds += 1
-    return reached(rounds)
-
-
 def derive_routes(columns: DataFrame, edges: DataFrame, unique: DataFrame, key: str) -> DataFrame:
     """upstream, downstream, status, join_column of each lineage edge.
 
@@ -101,28 +120,24 @@ def derive_chains(routes: DataFrame, target: str) -> DataFrame:
     are several or a hop is. Tables that no chain reaches are INVALID if all of their edges are, or else UNRESOLVED. Each
     round goes one hop up from the tables that the round before reached, so cycles end."""
     spark = routes.sparkSession
-    work = Workspace(spark, shared_base(spark))
-    routes = work.put("routes", routes)
-    hops = routes.where("status in ('VERIFIED', 'AMBIGUOUS')").select(F.col("upstream").alias("up"), F.col("downstream").alias("node"), (F.col("status") == "AMBIGUOUS").alias("open"), F.coalesce("join_column", F.lit("?")).alias("c"))
-    start = spark.createDataFrame([(target, target, "", False)], "node string, route string, join_columns string, several boolean")
-    found = work.put("0", start)
-
-    def reached(rounds: int) -> DataFrame:
-        return spark.read.schema(found.schema).parquet(*[f"{work.path}/{i}" for i in range(rounds)])
-
-    rounds, fresh = 1, found
-    while not fresh.isEmpty():
-        chain = fresh.join(hops, "node").select("up", F.concat_ws(" -> ", "up", "route").alias("route"), F.concat_ws(", ", "c", F.nullif("join_columns", F.lit(""))).alias("join_columns"), (F.col("several") | F.col("open")).alias("several"))
-        least = F.struct("route", "join_columns")
-        one = chain.groupBy(F.col("up").alias("node")).agg(F.min(least).alias("r"), (F.max("several") | (F.count(F.lit(1)) > 1)).alias("several"))
-        fresh = work.put(str(rounds), one.select("node", "r.route", "r.join_columns", "several").join(reached(rounds).select("node"), "node", "left_anti"))
-        rounds += 1
-    chains = reached(rounds).where(F.col("node") != target)
-    edges = routes.select(F.col("upstream").alias("parent"), F.col("downstream").alias("child"))
-    above = closure(edges, [target], "up").where(F.col("node") != target)
-    invalid = routes.groupBy(F.col("upstream").alias("node")).agg(F.min(F.col("status") == "INVALID").alias("invalid"))
-    status = F.when(F.col("route").isNull(), F.when(F.col("invalid"), "INVALID").otherwise("UNRESOLVED")).when(F.col("several"), "AMBIGUOUS").otherwise("VERIFIED")
-    return above.join(chains, "node", "left").join(invalid, "node", "left").select(F.col("node").alias("upstream"), status.alias("status"), "route", "join_columns")
+    with Workspace(spark) as work:
+        routes = work.put("routes", routes)
+        hops = routes.where("status in ('VERIFIED', 'AMBIGUOUS')").select(F.col("upstream").alias("up"), F.col("downstream").alias("node"), (F.col("status") == "AMBIGUOUS").alias("open"), F.coalesce("join_column", F.lit("?")).alias("c"))
+        start = spark.createDataFrame([(target, target, "", False)], "node string, route string, join_columns string, several boolean")
+        fresh = found = work.put("0", start)
+        rounds = 1
+        while not fresh.isEmpty():
+            chain = fresh.join(hops, "node").select("up", F.concat_ws(" -> ", "up", "route").alias("route"), F.concat_ws(", ", "c", F.nullif("join_columns", F.lit(""))).alias("join_columns"), (F.col("several") | F.col("open")).alias("several"))
+            least = F.struct("route", "join_columns")
+            one = chain.groupBy(F.col("up").alias("node")).agg(F.min(least).alias("r"), (F.max("several") | (F.count(F.lit(1)) > 1)).alias("several"))
+            fresh = work.put(f"fresh-{rounds}", one.select("node", "r.route", "r.join_columns", "several").join(found.select("node"), "node", "left_anti"))
+            found = work.put(str(rounds), union_all(found, fresh))
+            rounds += 1
+        edges = routes.select(F.col("upstream").alias("parent"), F.col("downstream").alias("child"))
+        above = closure(edges, [target], "up").where(F.col("node") != target)
+        invalid = routes.groupBy(F.col("upstream").alias("node")).agg(F.min(F.col("status") == "INVALID").alias("invalid"))
+        status = F.when(F.col("route").isNull(), F.when(F.col("invalid"), "INVALID").otherwise("UNRESOLVED")).when(F.col("several"), "AMBIGUOUS").otherwise("VERIFIED")
+        return settled(above.join(found, "node", "left").join(invalid, "node", "left").select(F.col("node").alias("upstream"), status.alias("status"), "route", "join_columns"))
 
 
 def route_text(hops: tuple[tuple[str, str], ...]) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import union_all
-from .compare import compare_tables, count_of, one_row
+from .compare import compare_by_buckets, compare_tables, count_of, one_row
 
 #: Fixed value: percent of entities from which a rebuild is recommended.
 REBUILD_PERCENT = 75
@@ -26,7 +26,7 @@ def repaired(mart: DataFrame, head: DataFrame, keys: DataFrame, key: str) -> Dat
 
 def verify_baseline(mart: DataFrame, old: DataFrame, key: str, pinned: Column | None = None) -> DataFrame:
     """Does the existing mart equal the full old result? MATCHED, MISMATCHED or, unpinned or misaligned, FAILED."""
-    counts = compare_tables(mart, old, key)
+    counts = compare_by_buckets(mart, old, key)
     failed = (F.col("reason") == "SCHEMA_MISALIGNED") | ~(pinned if pinned is not None else F.lit(True))
     return counts.withColumn("status", F.when(F.coalesce(failed, F.lit(False)), "FAILED").when(F.col("reason").isNull(), "MATCHED").otherwise("MISMATCHED"))
 
@@ -57,6 +57,77 @@ def apply_repair(spark: SparkSession, mart_path: str, head: DataFrame, keys: Dat
     return old
 
 
+class PartitionedMart:
+    """A mart stored in ``parts`` partitions by the hash of its key. A repair rewrites only those that hold a key of it.
+
+    The new content of the touched partitions is first written whole to a stage beside the mart; it counts as soon as its
+    ``_SUCCESS`` file is there. Then it takes the place of those partitions by dynamic partition overwrite. A repair that dies
+    before the stage is complete has changed nothing; one that dies later is finished by ``resume``, which can be repeated. ``repair``
+    calls it first. One repair at a time.
+    """
+
+    PART = "__part"
+
+    def __init__(self, spark: SparkSession, path: str, key: str, parts: int = 256) -> None:
+        self.spark, self.path, self.key, self.parts = spark, path.rstrip("/"), key, parts
+        self.stage = f"{self.path}__stage"
+
+    def _fs(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _exists(self, name: str) -> bool:
+        fs, path = self._fs(name)
+        return fs.exists(path)
+
+    def _drop(self, name: str) -> None:
+        fs, path = self._fs(name)
+        fs.delete(path, True)
+
+    def _placed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(self.PART, F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int"))
+
+    def _type(self):
+        return self.spark.read.parquet(self.path).schema[self.key].dataType
+
+    def create(self, mart: DataFrame) -> None:
+        self._placed(mart).repartition(self.PART).write.partitionBy(self.PART).parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).drop(self.PART)
+
+    def repair(self, head: DataFrame, keys: DataFrame) -> list[int]:
+        """Replace the rows of the keys by head; gives the numbers of the partitions that were written."""
+        self.resume()
+        stored = self.spark.read.parquet(self.path)
+        keys = self._placed(keys.select(F.col(keys.columns[0]).cast(self._type()).alias(self.key)).where(F.col(self.key).isNotNull()).distinct())
+        head = self._placed(head.select(*[F.col(c).cast(stored.schema[c].dataType) for c in stored.columns if c != self.PART]))
+        touched = sorted(r[0] for r in union_all(keys.select(self.PART), head.select(self.PART)).distinct().collect())  # at most ``parts`` numbers
+        if not touched:
+            return []
+        rest = stored.where(F.col(self.PART).isin(touched)).join(keys.select(self.key), self.key, "left_anti")
+        self._drop(self.stage)
+        self.spark.createDataFrame([(n,) for n in touched], "part int").coalesce(1).write.parquet(f"{self.stage}/touched")
+        union_all(rest.select(*stored.columns), head.select(*stored.columns)).repartition(self.PART).write.partitionBy(self.PART).parquet(f"{self.stage}/rows")
+        self.resume()
+        return touched
+
+    def resume(self) -> bool:
+        """Finish a repair whose stage is complete, drop one that is not. Was there one to finish?"""
+        if not self._exists(f"{self.stage}/rows/_SUCCESS"):
+            self._drop(self.stage)
+            return False
+        touched = [r[0] for r in self.spark.read.parquet(f"{self.stage}/touched").collect()]
+        full = [n for n in touched if self._exists(f"{self.stage}/rows/{self.PART}={n}")]
+        if full:
+            rows = self.spark.read.option("basePath", f"{self.stage}/rows").parquet(*[f"{self.stage}/rows/{self.PART}={n}" for n in full])
+            rows.repartition(self.PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.PART).parquet(self.path)
+        for n in set(touched) - set(full):  # all their rows went
+            self._drop(f"{self.path}/{self.PART}={n}")
+        self._drop(self.stage)
+        return True
+
+
 def economics(jobs: DataFrame, full: DataFrame) -> DataFrame:
     """Cost of each run and its decision.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..functions.frames import union_all
 
 #: Names under which the event fields may come.
 ALIASES = {
@@ -41,24 +42,71 @@ def read_change_events(spark: SparkSession, path: str, required: bool = True) ->
     return events
 
 
+def identity_tree(spark: SparkSession, path: str) -> DataFrame:
+    """part (folder below path, empty for path itself), files and digest of every folder: a tree of hashes.
+
+    A file's hash is that of its name, size and time. The files of a folder are hashed in 256 bundles by their own hash, the bundles
+    and the digests of its folders in order, and so on up to the path itself; so no step gathers all files, and a changed file
+    changes the digests on its way up only.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
+    below = F.regexp_replace(F.expr(f"substring(path, {len(_qualified(spark, path)) + 1})"), "^/+", "")
+    named = files.select(F.when(below == "", F.element_at(F.split("path", "/"), -1)).otherwise(below).alias("below"), "length", F.unix_micros("modificationTime").alias("at"))
+    leaf = named.select(F.regexp_replace("below", "/?[^/]*$", "").alias("part"), F.sha2(F.concat_ws("|", "below", "length", "at"), 256).alias("h"))
+    bundles = leaf.groupBy("part", F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("h"), F.count(F.lit(1)).alias("files"))
+    # Each folder, whether it has files or only folders.
+    own = bundles.select("part", F.struct(F.concat(F.lit("file "), "b").alias("name"), "h").alias("child"), "files")
+    deepest = leaf.agg(F.max(F.when(F.col("part") == "", 0).otherwise(F.size(F.split("part", "/"))))).first()[0] or 0
+    out = None
+    for depth in range(deepest, -1, -1):
+        depth_of = F.when(F.col("part") == "", 0).otherwise(F.size(F.split("part", "/")))
+        here = own.where(depth_of == depth)
+        if out is not None:
+            up = out.where(depth_of == depth + 1)
+            up = up.select(F.regexp_replace("part", "/?[^/]*$", "").alias("part"), F.struct(F.concat(F.lit("folder "), F.element_at(F.split("part", "/"), -1)).alias("name"), F.col("digest").alias("h")).alias("child"), "files")
+            here = union_all(here, up)
+        level = here.groupBy("part").agg(F.sum("files").alias("files"), F.sha2(F.to_json(F.sort_array(F.collect_list("child"))), 256).alias("digest"))
+        out = level if out is None else union_all(out, level)
+    return out
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path as the reader names it: with scheme, without a slash at the end."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+
+
 def source_identity(spark: SparkSession, path: str) -> str:
-    """Hash of the paths, sizes and times of a source's files."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
-    row = files.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws("|", "path", "length", F.unix_micros("modificationTime").cast("string")))), "\n"), 256).alias("id")).first()
-    return row.id
+    """The digest at the top of the identity tree."""
+    return identity_tree(spark, path).where("part = ''").first().digest
+
+
+PINS = "name string, path string, identifier string, parts map<string,string>"
 
 
 def pin(spark: SparkSession, sources: dict[str, str], target: str | None = None) -> DataFrame:
-    """name, path, identifier of each source; the target is pinned like any other. A missing path is not pinned (null)."""
+    """name, path, identifier and parts (folders with their digests) of each source; the target is pinned like any other. A missing
+    path is not pinned (null)."""
     rows = []
     for name, path in {**sources, **({"__target": target} if target else {})}.items():
         try:
-            rows.append((name, path, source_identity(spark, path)))
+            parts = {r.part: r.digest for r in identity_tree(spark, path).collect()}  # a row for each folder
+            rows.append((name, path, parts[""], parts))
         except Exception as why:
             if "PATH_NOT_FOUND" not in str(why):
                 raise
-            rows.append((name, path, None))
-    return spark.createDataFrame(rows, "name string, path string, identifier string")
+            rows.append((name, path, None, None))
+    return spark.createDataFrame(rows, PINS)
+
+
+def changed_parts(pins: DataFrame, name: str) -> DataFrame:
+    """part and change (added, removed, modified) of the folders of a source that are not as they were pinned. A folder is modified if
+    something below it is; the deepest ones say what."""
+    row = pins.where(F.col("name") == name).first()
+    was = pins.where(F.col("name") == name).select(F.explode("parts").alias("part", "was"))
+    now = identity_tree(pins.sparkSession, row.path).select(F.col("part"), F.col("digest").alias("now"))
+    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "modified")
+    return was.join(now, "part", "full_outer").select("part", change.alias("change")).where("change is not null")
 
 
 def read_pinned(pins: DataFrame, name: str) -> DataFrame:
@@ -67,7 +115,8 @@ def read_pinned(pins: DataFrame, name: str) -> DataFrame:
     if row is None or row.identifier is None:
         raise ValueError(f"SOURCE_NOT_PINNED: {name}")
     if source_identity(pins.sparkSession, row.path) != row.identifier:
-        raise ValueError(f"SOURCE_CHANGED: {name}")
+        where = ", ".join(r.part or "." for r in changed_parts(pins, name).orderBy(F.desc(F.length("part")), "part").limit(5).collect())
+        raise ValueError(f"SOURCE_CHANGED: {name} in {where}")
     return pins.sparkSession.read.parquet(row.path)
 
 

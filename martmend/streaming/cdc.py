@@ -45,10 +45,41 @@ def paired(raw: DataFrame, stream: str) -> DataFrame:
     )
     one, none = F.lit(1), F.lit(0)
     operation = F.when(F.col("is_update"), F.when((F.col("inserts") == one) & (F.col("deletes") == one), "UPDATE")).when((F.col("inserts") == one) & (F.col("deletes") == none), "INSERT").when((F.col("deletes") == one) & (F.col("inserts") == none), "DELETE")
-    row = row.withColumn("operation", operation)
-    names = ("primary_key_before", "primary_key_after", "target_key_before", "target_key_after")
-    print_ = scalars.event_fingerprint(F.lit(stream), F.col("row_id"), F.col("operation"), *[F.col(n) for n in names])
-    return row.withColumn("payload_fingerprint", print_).select(scalars.event_id(F.col("payload_fingerprint")).alias("event_id"), "row_id", "operation", "is_update", *names, "payload_fingerprint")
+    return _identified(row.withColumn("operation", operation), stream).select("event_id", "row_id", "operation", "is_update", *KEYS, "payload_fingerprint")
+
+
+KEYS = ("primary_key_before", "primary_key_after", "target_key_before", "target_key_after")
+
+
+def _identified(rows: DataFrame, stream: str) -> DataFrame:
+    """rows (row_id, operation and keys) with their fingerprint and event id."""
+    print_ = scalars.event_fingerprint(F.lit(stream), F.col("row_id"), F.col("operation"), *[F.col(n) for n in KEYS])
+    return rows.withColumn("payload_fingerprint", print_).withColumn("event_id", scalars.event_id(F.col("payload_fingerprint")))
+
+
+def paired_stream(raw: DataFrame, stream: str, event_time: str, lateness: str) -> DataFrame:
+    """Events of a stream of raw records (canonical columns and an event time), with event_time; the two records of an update may
+    come in different micro-batches.
+
+    Records that are no updates are events at once. The halves of updates meet in a full outer stream-stream join on the row
+    id, which keeps a half in its state until the watermark passes it by ``lateness``. A half that no other joined by then comes
+    out without an operation, its action as ``side``.
+    """
+    timed = with_lateness(raw.withColumnRenamed(event_time, "event_time"), "event_time", lateness)
+    halves = []
+    for action, when in (("DELETE", "before"), ("INSERT", "after")):
+        own = timed.where((F.col("action") == action) & F.col("is_update"))
+        halves.append(own.select(F.col("row_id").alias(f"row_{when}"), F.col("event_time").alias(f"time_{when}"), *[F.col(k).alias(f"{k}_{when}") for k in ("primary_key", "target_key")]))
+    near = F.expr(f"row_before = row_after and time_after between time_before - interval {lateness} and time_before + interval {lateness}")
+    met = halves[0].join(halves[1], near, "full_outer")
+    both = F.col("row_before").isNotNull() & F.col("row_after").isNotNull()
+    updates = met.select(
+        F.coalesce("row_before", "row_after").alias("row_id"), F.when(both, "UPDATE").alias("operation"), F.lit(True).alias("is_update"), *KEYS,
+        F.coalesce("time_after", "time_before").alias("event_time"), F.when(F.col("row_after").isNull(), "DELETE").when(F.col("row_before").isNull(), "INSERT").alias("side"),
+    )
+    sides = [F.when(F.col("action") == action, F.col(k)).alias(f"{k}_{when}") for k in ("primary_key", "target_key") for action, when in (("DELETE", "before"), ("INSERT", "after"))]
+    plain = timed.where(~F.col("is_update") | ~F.coalesce(F.col("action").isin("INSERT", "DELETE"), F.lit(False))).select("row_id", F.col("action").alias("operation"), "is_update", *sides, "event_time", F.col("action").alias("side"))
+    return _identified(union_all(plain.select(updates.columns), updates), stream)
 
 
 def before_image_missing(require: tuple[str, ...] = (DELETE, KEY_CHANGE)) -> Column:
@@ -77,11 +108,20 @@ def duplicates(events: DataFrame, history: DataFrame | None = None) -> DataFrame
 def normalize_cdc(raw: DataFrame, stream: str, require: tuple[str, ...] = (DELETE, KEY_CHANGE), history: DataFrame | None = None) -> DataFrame:
     """The batch's logical events, all of them sound, or ``BatchFailed`` before anything is written."""
     events = paired(raw, stream)
-    checks = [("BAD_RECORD", bad_records(raw)), ("UNPAIRED_RECORDS", events.where("operation is null")), ("BEFORE_IMAGE_MISSING", check_before_images(events, require)), ("DUPLICATE_EVENT", duplicates(events, history))]
+    if not bad_records(raw).isEmpty():
+        raise BatchFailed("BAD_RECORD")
+    check_events(events, require, history)
+    return events
+
+
+def check_events(events: DataFrame, require: tuple[str, ...] = (DELETE, KEY_CHANGE), history: DataFrame | None = None) -> None:
+    """``BatchFailed`` if an event has no known operation or no row id, a row id comes twice, or a before-image or a new fingerprint is missing."""
+    bad = events.where(F.col("row_id").isNull() | ~F.coalesce(F.col("operation").isin("INSERT", "UPDATE", "DELETE"), F.lit(True)))
+    unpaired = union_all(events.where("operation is null").select("row_id"), events.groupBy("row_id").count().where("count > 1").select("row_id"))
+    checks = [("BAD_RECORD", bad), ("UNPAIRED_RECORDS", unpaired), ("BEFORE_IMAGE_MISSING", check_before_images(events, require)), ("DUPLICATE_EVENT", duplicates(events, history))]
     for code, df in checks:
         if not df.isEmpty():
             raise BatchFailed(code)
-    return events
 
 
 def keys_of_event() -> Column:
