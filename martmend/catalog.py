@@ -75,6 +75,8 @@ def two_join_mart(predicate: str) -> spec.MartSpec:
     return spec.MartSpec("customer", "c_custkey", (*AGGREGATES, ("nation", "max(n_name)")), joins, (("orders", predicate),))
 
 
+_SECRET = "not a secret"
+_IPAD, _OPAD = (bytes(b ^ x for b in _SECRET.encode().ljust(64, b"\0")).hex() for x in (0x36, 0x5C))
 OLD, NEW = "o_totalprice >= 200000", "o_totalprice >= 205000"
 VANISH_OLD, VANISH_NEW = "o_totalprice >= 450000", "o_totalprice >= 455000"
 #: SQL of a mart for a predicate, written without the library's shape: a grouped subquery, joined afterwards.
@@ -360,6 +362,39 @@ def no_ops(spark, path):
     return row.select(compare.no_op_count(F.col("union_keys"), F.col("confirmed")).alias("no_ops"))
 
 
+@query(f"select * from {L_NEW}")
+def repair_by_partition(spark, path):
+    """The stored mart after a repair that rewrites only the partitions with a key of it."""
+    src, found, before, _ = _left(spark, path)
+    with Workspace(spark) as work:
+        mart = repair.PartitionedMart(spark, f"{work.path}/mart", "c_custkey", parts=16)
+        mart.create(before)
+        found = work.put("keys", found)
+        mart.repair(spec.targeted(left_mart(NEW), src, found), found)
+        return settled(mart.read())
+
+
+@query(f"select * from {L_NEW}")
+def apply_repair(spark, path):
+    """The stored mart after the repaired copy has been swapped in."""
+    src, found, before, _ = _left(spark, path)
+    with Workspace(spark) as work:
+        stored, found = work.put("mart", before), work.put("keys", found)
+        repair.apply_repair(spark, f"{work.path}/mart", spec.targeted(left_mart(NEW), src, found), found, "c_custkey")
+        return settled(spark.read.schema(stored.schema).parquet(f"{work.path}/mart"))
+
+
+@query("select 'FULL_REBUILD_REQUIRED' as status, 'TWO_TAINTED_JOIN_INPUTS' as reason, count(*) as candidate_count, 0::bigint as rows_avoided from customer")
+def two_tainted_inputs(spark, path):
+    """Two filters change at once: no keys are derived, so all entities count as candidates."""
+    src = sources(spark, path, "customer", "orders")
+    old = left_mart(OLD).with_filter("customer", "c_acctbal > 0")
+    found = cover.candidate_keys(old, left_mart(NEW).with_filter("customer", "c_acctbal > 1000"), src)
+    full = compare.count_of(src["customer"], "full").select(F.lit(found.status).alias("status"), F.lit(found.reasons[0]).alias("reason"), "full")
+    proof = compare.fallback_proof(full, F.lit("required"), F.col("full"), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
+    return proof.select("status", "reason", "candidate_count", "rows_avoided")
+
+
 _DAMAGED = f"(select c_custkey, case when c_custkey % 11 = 0 then n_orders + 1 else n_orders end as n_orders, total_cents from {L_OLD} where c_custkey % 13 <> 0 union all select c_custkey + 10000000, n_orders, total_cents from {L_OLD} where c_custkey % 17 = 0)"
 
 
@@ -568,6 +603,57 @@ def cdc_proof(spark, path):
         return settled(batchlog.prove_cdc(routed, lambda k: spec.targeted(left_mart(NEW), src, k), mart_left(spark, path), "c_custkey", work)[0])
 
 
+_STORED_SQL = f"select substr({_PRINT_SQL}, 1, 32) as event_id, 'orders' as source_model, 'orders_stream' as source_relation, row_id as provider_row_id, operation, is_update, pb as primary_key_before, pa as primary_key_after, tb as target_key_before, ta as target_key_after, {_PRINT_SQL} as payload_fingerprint from {_LOGICAL_SQL}"
+_STORED = ["event_id", "source_model", "source_relation", "provider_row_id", "operation", "is_update", "primary_key_before", "primary_key_after", "target_key_before", "target_key_after", "payload_fingerprint"]
+
+
+@query(_STORED_SQL)
+def captured_events(spark, path):
+    """The event log after a stream over files with the whole feed has been consumed."""
+    with Workspace(spark) as work:
+        feed = work.put("feed", raw_feed(spark, path).coalesce(1))
+        log = batchlog.BatchLog(spark, f"{work.path}/log", project="orders_mart")
+        log.consume(spark.readStream.schema(feed.schema).parquet(f"{work.path}/feed"), f"{work.path}/checkpoint", "orders_stream", model="orders").awaitTermination()
+        return settled(log.events().select(*_STORED))
+
+
+@query(_STORED_SQL)
+def paired_events(spark, path):
+    """The same log from a feed whose deletes and inserts come in different micro-batches."""
+    with Workspace(spark) as work:
+        at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("primary_key").cast("bigint") % 600)
+        for action in ("DELETE", "INSERT"):
+            feed = work.put(f"feed/{action}", raw_feed(spark, path).where(F.col("action") == action).withColumn("at", at).coalesce(1))
+        log = batchlog.BatchLog(spark, f"{work.path}/log", project="orders_mart")
+        stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{work.path}/feed")
+        log.consume_paired(stream, f"{work.path}/checkpoint", "orders_stream", "at", "1 hour", model="orders").awaitTermination()
+        return settled(log.events().select(*_STORED))
+
+
+@query(f"with k as (select distinct entity_key::bigint as c_custkey from {_KEYS_SQL}), c as (select c_custkey from {CHANGED_SQL.format(a=L_OLD, b=L_NEW)}), q as (select c_custkey from {L_CANDIDATES}) select (select count(*) from k) as candidate_count, (select count(*) from q) as sql_change_candidate_count, (select count(*) from (select * from k union select * from q)) as union_candidate_count, (select count(*) from c where c_custkey in (select * from k union select * from q)) as confirmed_change_count, 0::bigint as missed_event_count, 'passed' as validation_status, true as repair_applied, 'COMPLETED' as status, (select count(*) from {_FEED_SQL}) as raw_record_count, (select count(*) from {_LOGICAL_SQL}) as logical_event_count")
+def batch_proof(spark, path):
+    """A captured batch, with a definition change beside it, proved and applied to a partitioned mart: the batch's state and proof."""
+    src, changed, before, _ = _left(spark, path)
+    with Workspace(spark) as work:
+        mart = repair.PartitionedMart(spark, f"{work.path}/mart", "c_custkey", parts=16)
+        mart.create(before)
+        log = batchlog.BatchLog(spark, f"{work.path}/log", project="orders_mart")
+        log.capture(raw_feed(spark, path), "b1", "orders_stream", model="orders")
+        log.prove("b1", lambda k: spec.targeted(left_mart(NEW), src, k), mart.read(), "c_custkey", apply=mart.repair, changed=changed)
+        return settled(log.batches(status="COMPLETED").select("candidate_count", "sql_change_candidate_count", "union_candidate_count", "confirmed_change_count", "missed_event_count", "validation_status", "repair_applied", "status", "raw_record_count", "logical_event_count"))
+
+
+@query("select distinct user_id, event_type from events")
+def late_duplicates(spark, path):
+    """Events of a stream without those that repeat user and type within the declared lateness."""
+    with Workspace(spark) as work:
+        events = work.put("events", Tables(spark, path)["events"].select("user_id", "event_type", "ts"))
+        stream = cdc.with_lateness(spark.readStream.schema(events.schema).parquet(f"{work.path}/events"), "ts", "36500 days")
+        kept = cdc.drop_late_duplicates(stream, ["user_id", "event_type"]).select("user_id", "event_type")
+        kept.writeStream.format("parquet").option("path", f"{work.path}/kept").option("checkpointLocation", f"{work.path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        return settled(spark.read.schema(kept.schema).parquet(f"{work.path}/kept"))
+
+
 def _batches(spark, path) -> DataFrame:
     """A batch per customer nation: its state and proof derived from that nation's figures."""
     row = Tables(spark, path)["customer"].groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("full_entities"), F.count(F.when(F.col("c_acctbal") < 0, 1)).alias("union_candidates"))
@@ -642,6 +728,32 @@ def read_events(spark, path):
     return files.change_events(raw)
 
 
+@query("select o_orderpriority, count(*) as n from orders group by 1")
+def pinned_source(spark, path):
+    """Counts from a source that is read only if every part of it is as it was pinned."""
+    pins = files.pin(spark, {"orders": f"{path}/orders.parquet"})
+    return files.read_pinned(pins, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select 'p' || (p_partkey // 2) as parent, 'p' || p_partkey as child from part where p_partkey > 1")
+def lineage_file(spark, path):
+    """Lineage edges read from a file of nodes, written from the parts."""
+    node = "struct(concat('p', p_partkey) as unique_id, concat('p', p_partkey) as name, 'model' as resource_type, struct(if(p_partkey > 1, array(concat('p', p_partkey div 2)), array()) as nodes) as depends_on)"
+    with Workspace(spark) as work:
+        nodes = Tables(spark, path)["part"].select(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("p"), "p_partkey"), F.expr(node)))).alias("nodes"))
+        nodes.coalesce(1).write.json(f"{work.path}/lineage")
+        return settled(files.read_lineage(spark, f"{work.path}/lineage")[1])
+
+
+@query(f"select sha256(from_hex('{_OPAD}') || from_hex(sha256(from_hex('{_IPAD}') || encode('v1|demo|customer|c_custkey|' || c_custkey)))) as entity_value, 'Order belongs to customer' as reason from {L_CANDIDATES}")
+def written_assessment(spark, path):
+    """The entities of an assessment as they leave the house: pseudonyms, and reasons without ids."""
+    found = candidates(spark, path).select(F.col("c_custkey").cast("string").alias("entity_value"), scalars.routed_reason("order_id", F.col("c_custkey"), "customer").alias("reason"))
+    with Workspace(spark) as work:
+        files.write_assessment(compare.count_of(found, "n"), found, f"{work.path}/out", _SECRET, "demo", "customer", "c_custkey")
+        return settled(spark.read.schema("entity_value string, reason string").json(f"{work.path}/out/entities"))
+
+
 @query("select event_id, 'customer_id' as field from events where event_id % 3 = 0 union all select event_id, 'secret' from events where event_id % 5 = 0")
 def forbidden_fields(spark, path):
     inner = "if(event_id % 3 = 0, concat('{\"customer_id\": ', user_id, '}'), '\"customer_id\"')"
@@ -650,10 +762,6 @@ def forbidden_fields(spark, path):
 
 
 # ---------------------------------------------------------------- scalars
-_SECRET = "not a secret"
-_IPAD, _OPAD = (bytes(b ^ x for b in _SECRET.encode().ljust(64, b"\0")).hex() for x in (0x36, 0x5C))
-
-
 @query(f"select c_custkey, sha256(from_hex('{_OPAD}') || from_hex(sha256(from_hex('{_IPAD}') || encode('v1|demo|customer|c_custkey|' || c_custkey)))) as pseudonym from customer")
 def pseudonyms(spark, path):
     return Tables(spark, path)["customer"].select("c_custkey", scalars.pseudonymize(F.concat(F.lit(" +00"), F.col("c_custkey")), _SECRET, "demo", "Customer", "c_custkey").alias("pseudonym"))
