@@ -4,8 +4,10 @@ Reader: it walks an archive member by member (or record by record where it is no
 member's CRC, the version line, the length, the closing blank lines and, where given, the block digest. After a failed
 check it searches for the next valid member or version line, goes on from there, and logs the bytes between as a gap. Inside a
 member whose CRC is right it does the same in the content; such a gap names the content's bytes, as its place is the member's.
-Of a member whose end is missing, records that their own digest proves are recovered; the gap has its bytes. A member with a wrong
-CRC or form is lost, as the damage may be in a header, which no digest covers.
+Of a member that breaks off, is followed by another too early, or has a wrong CRC or form, what unpacks is kept: records that their own
+block digest proves are recovered if their headers, which no digest covers, are well formed and the CRC does not show a changed byte
+there; the search goes on behind the bytes they came from, and
+the gap has the member's bytes. Every search passes over the archive once.
 
 Writer: ``write`` makes one folder of archives for each task; a task writes under a name of its own and renames the
 folder when it is complete, so a lost or repeated task leaves no partial archive under ``part-*``. Archives are rolled
@@ -13,7 +15,7 @@ at ``roll_bytes``, which bounds what a reading task holds. Executors reach the f
 
 Defined results: null html is an empty payload; of rows with equal payloads of at least ``min_revisit`` bytes the one with the
 largest page_id (null: the least) is the response and the others, repeated rows too, are revisits of it; control characters
-in a URL are percent-encoded; an empty table leaves a folder without archives, which reads as no records.
+in a URL are percent-encoded; columns of other names are ignored, whatever the names; an archive of any length is one row in memory; a header of 64 KB or more is none; an empty table leaves a folder without archives, which reads as no records.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import new_folder
 
 ROLL_BYTES = 4 << 20
+#: Bytes of a header.
+HEAD = 1 << 16
 GZIP = b"\x1f\x8b\x08"
 RECORD = "file string, begin long, stop long, warc_type string, record_id string, target_uri string, refers_to_id string, payload_digest string, payload_bytes long, payload binary, gap_reason string"
 FIELDS = ("file", "begin", "stop", "warc_type", "record_id", "target_uri", "refers_to_id", "payload_digest", "payload_bytes", "payload", "gap_reason")
@@ -116,31 +120,116 @@ def write(planned: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> None
     planned.mapInArrow(store, "records long").agg(F.sum("records")).collect()
 
 
-def read_member(data: memoryview, at: int) -> tuple[bytes, int, bool] | None:
-    """The content of the gzip member at a place, where it ends, and whether the archive holds all of it; None if its CRC or its form is wrong."""
+def read_member(data: memoryview, at: int) -> tuple[bytes, int, bool, int | None]:
+    """The content of the gzip member at a place, where it ends, and whether it is sound; of one that breaks off or fails a check, all
+    that could be unpacked, and its CRC if that is what failed."""
     unpacker, out, fed, step = zlib.decompressobj(31), [], at, 1024  # a small step first, as most false starts break at once
     try:
         while not unpacker.eof and fed < len(data):
             out.append(unpacker.decompress(data[fed : fed + step]))
             fed, step = fed + step, 65536
-    except zlib.error:
-        return None
-    return b"".join(out), min(fed, len(data)) - len(unpacker.unused_data), unpacker.eof
-
-
-def read_record(data: bytes, at: int) -> tuple[dict, bytes, int] | str:
-    """Headers, block and end of the record at a place, or which check failed."""
+    except zlib.error as why:
+        # What the step that failed held before the fault: halves of it, as far as they go.
+        unpacker, size = zlib.decompressobj(31), min(step, len(data) - fed)
+        unpacker.decompress(data[at:fed])
+        while size:
+            trial, half = unpacker.copy(), (size + 1) // 2
+            try:
+                out.append(trial.decompress(data[fed : fed + half]))
+                unpacker, fed, size = trial, fed + half, size - half
+            except zlib.error:
+                if size == 1:
+                    break
+                size = half
+        # A wrong CRC is told at its last byte.
+        return b"".join(out), len(data), False, int.from_bytes(data[fed - 3 : fed + 1], "little") if "data check" in str(why) else None
+    return b"".join(out), min(fed, len(data)) - len(unpacker.unused_data), unpacker.eof, None
+
+
+#: What a byte adds to a CRC-32, by the byte; by that, the byte; and the byte by the highest eight bits of it.
+ADDS = [zlib.crc32(bytes([b])) ^ zlib.crc32(b"\0") for b in range(256)]
+BYTES, HIGHEST = {c: b for b, c in enumerate(ADDS)}, {c >> 24: b for b, c in enumerate(ADDS)}
+
+
+def changed_byte(content: bytes, crc: int) -> int | None:
+    """The place of the one byte whose change explains why the content's CRC is not the given one, if there is such a place.
+
+    The CRC is linear: a changed byte adds a number of its own, that each byte behind it carries on. The difference of the
+    CRCs is carried back byte by byte until it is such a number.
+    """
+    rest = zlib.crc32(content) ^ crc
+    for place in range(len(content) - 1, -1, -1):
+        if rest in BYTES:
+            return place
+        low = HIGHEST[rest >> 24]
+        rest = ((rest ^ ADDS[low]) << 8 & 0xFFFFFFFF) | low
+    return None
+
+
+def unpacked_from(data: memoryview, at: int, size: int) -> int:
+    """Where the bytes end that the first ``size`` bytes of the member's content come from; all but one, lest its CRC is looked at."""
+    unpacker, fed, left = zlib.decompressobj(31), at, size - 1
+    while left > 0:
+        piece = data[fed : fed + 65536]
+        left -= len(unpacker.decompress(piece, left))
+        fed += len(piece) - len(unpacker.unconsumed_tail)
+    return fed
+
+
+#: The names of the WARC format's header fields, and the forms of four of them.
+NAMES = frozenset(
+    "warc-type warc-record-id warc-date content-length content-type warc-concurrent-to warc-block-digest warc-payload-digest warc-ip-address warc-refers-to warc-refers-to-target-uri "
+    "warc-refers-to-date warc-target-uri warc-truncated warc-warcinfo-id warc-filename warc-profile warc-identified-payload-type warc-segment-number warc-segment-origin-id warc-segment-total-length".split()
+)
+FORMS = {"warc-type": r"warcinfo|response|resource|request|metadata|revisit|conversion|continuation", "warc-record-id": r"<[a-z]+:[^<>\s]+>", "warc-date": r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?Z", "warc-block-digest": r"sha1:[A-Z2-7]{32}"}
+
+
+def proven(head: dict) -> bool:
+    """Whether a record whose member's checks failed may be taken: its block digest was there (and so held), and its header, which no
+    digest covers, has the fields that it must have, in their forms, and none of an unknown name."""
+    return head.keys() <= NAMES and all(re.fullmatch(form, head.get(name, "")) for name, form in FORMS.items())
+
+
+class Marks:
+    """The next place of a mark behind a given one, for places that only grow: each byte is searched once."""
+
+    def __init__(self, data: bytes, mark: bytes) -> None:
+        self.data, self.mark, self.place = data, mark, -1
+
+    def after(self, at: int) -> int:
+        if self.place < at:
+            found = self.data.find(self.mark, at)
+            self.place = found if found >= 0 else len(self.data)
+        return self.place
+
+
+class Heads:
+    """Where the header that begins at a place ends, and where the next line with a version begins."""
+
+    def __init__(self, data: bytes) -> None:
+        self.blanks, self.versions = Marks(data, b"\r\n\r\n"), Marks(data, b"\nWARC/1.")
+
+    def end(self, at: int) -> int | None:
+        """None if there is no end, another version line comes before it, or the header is longer than HEAD."""
+        end = self.blanks.after(at)
+        return end if end < min(len(self.blanks.data), self.versions.after(at), at + HEAD) else None
+
+
+def read_record(data: bytes, at: int, heads: Heads) -> tuple[dict, bytes, int] | str:
+    """Headers, block and end of the record at a place, or which check failed. heads: those of data."""
     if not re.compile(rb"WARC/1\.[01]\r\n").match(data, at):
         return "version"
-    head_end = data.find(b"\r\n\r\n", at)
-    if head_end < 0:
+    head_end = heads.end(at)
+    if head_end is None:
         return "header"
-    head = {}
-    for line in data[at:head_end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    head, line = {}, data.find(b"\r\n", at) + 2
+    while line < head_end:
+        end = data.find(b"\r\n", line, head_end + 2)
+        name, colon, value = data[line:end].partition(b":")
         if not colon:
             return "header"
         head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        line = end + 2
     if not re.fullmatch(r"[0-9]{1,18}", head.get("content-length", "")):
         return "length"
     begin = head_end + 4
@@ -154,63 +243,58 @@ def read_record(data: bytes, at: int) -> tuple[dict, bytes, int] | str:
 
 
 def salvage_content(content: bytes) -> tuple[list[tuple], str]:
-    """(headers, block, None) of each record in a member's content and (None, None, reason) of each gap, in order; nothing but
-    a reason if there is no record."""
+    """(headers, block, None, end) of each record in a member's content and (None, None, reason, end) of each gap, in order; nothing
+    but a reason if there is no record."""
     found, at, gap, why, records = [], 0, None, "empty", 0
+    heads, lines = Heads(content), Marks(content, b"WARC/1.")
     while at < len(content):
-        got = read_record(content, at)
+        got = read_record(content, at, heads)
         if isinstance(got, str):
             if gap is None:
                 gap, why = at, got
-            at = content.find(b"WARC/1.", at + 1)
-            if at < 0:
-                break
+            at = lines.after(at + 1)
             continue
         if gap is not None:
-            found.append((None, None, f"{why} (content bytes {gap} to {at})"))
+            found.append((None, None, f"{why} (content bytes {gap} to {at})", at))
             gap = None
-        found.append((got[0], got[1], None))
+        found.append((got[0], got[1], None, got[2]))
         records, at = records + 1, got[2]
     if not records:
         return [], why
     if gap is not None:
-        found.append((None, None, f"{why} (content bytes {gap} to {len(content)})"))
+        found.append((None, None, f"{why} (content bytes {gap} to {len(content)})", len(content)))
     return found, ""
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
     """(begin, end, headers, block, None) of each record and (begin, end, None, None, reason) of each gap, in order."""
     view, at, gap, why = memoryview(data), 0, None, ""
-
-    starts = {GZIP: -1, b"WARC/1.": -1}
-
-    def next_start(after: int) -> int:
-        for mark, place in starts.items():
-            if place < after:  # else the place found before still holds
-                found = data.find(mark, after)
-                starts[mark] = found if found >= 0 else len(data)
-        return min(starts.values())
-
+    heads, starts = Heads(data), [Marks(data, GZIP), Marks(data, b"WARC/1.")]
     while at < len(data):
-        found, end, reason = [], at, ""
+        found, end, reason, following = [], at, "", at + 1
         if data.startswith(GZIP, at):
-            member = read_member(view, at)
-            if member is None:
-                reason = "gzip"
-            elif member[2]:
-                content, end, _ = member
+            content, end, sound, crc = read_member(view, at)
+            if sound:
                 found, reason = salvage_content(content)
+                found = [x[:3] for x in found]
             else:
-                reason = "gzip"
-                # The end is missing, and with it the CRC: records before it are taken if their own digest proves them.
-                for head, block, lost in salvage_content(member[0])[0]:
-                    if lost is None and head.get("warc-block-digest", "").startswith("sha1:"):
-                        if gap is not None:
-                            yield gap, at, None, None, why
-                            gap = None
-                        yield at, at, head, block, None
+                reason, end = "gzip", at
+                # It is cut off, or its CRC or form is wrong: records are taken if their own digest proves them, but none whose header has
+                # the byte that makes the CRC wrong; and nothing is searched in the bytes that they came from.
+                wrong, last, taken = None if crc is None else changed_byte(content, crc), 0, []
+                for head, block, lost, stop in salvage_content(content)[0]:
+                    if lost is None and proven(head) and not (wrong is not None and last <= wrong < stop - 4 - len(block)):
+                        taken.append((head, block, lost, stop))
+                    last = stop
+                if taken:
+                    following = max(following, unpacked_from(view, at, taken[-1][3]))
+                    if gap is not None:
+                        yield gap, at, None, None, why
+                        gap = None
+                for head, block, *_ in taken:
+                    yield at, at, head, block, None
         else:
-            got = read_record(data, at)
+            got = read_record(data, at, heads)
             if isinstance(got, str):
                 reason = got
             else:
@@ -218,7 +302,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
         if reason and not found:
             if gap is None:
                 gap, why = at, reason
-            at = next_start(at + 1)
+            at = min(s.after(following) for s in starts)
             continue
         if gap is not None:
             yield gap, at, None, None, why

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import time
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -99,3 +100,53 @@ def test_sound_records_of_a_truncated_member_are_found():
     began = time.time()
     assert ids(warc.GZIP * 20_000 + last) == ["last"]
     assert time.time() - began < 10
+
+
+def random_records(n, size, seed):
+    rng = random.Random(seed)
+    return [warc.make_record("u", warc.record_id(i, 0), bytes(rng.randrange(256) for _ in range(size)), None) for i in range(n)]
+
+
+def test_a_truncated_member_before_a_sound_one_keeps_its_records():
+    parts, last = random_records(6, 3000, 10), warc.gzip_member(warc.make_record("u", "last", b"x", None))
+    member = warc.gzip_member(b"".join(parts))
+    cut_off = member[: len(member) * 2 // 3]
+    whole = [i for i in range(6) if sum(map(len, parts[: i + 1])) < len(b"".join(parts)) * 2 // 3 - 200]
+    assert len(whole) >= 3 and ids(cut_off + last) == [warc.record_id(i, 0) for i in whole] + ["last"]
+    assert [x[:2] for x in gaps(cut_off + last)] == [(0, len(cut_off))]
+    text = warc.gzip_member(b"".join(records(6)))
+    got = ids(text[: len(text) * 9 // 10] + last)
+    assert got[-1] == "last" and got[:-1] == [warc.record_id(i, 0) for i in range(len(got) - 1)] and len(got) > 3
+
+
+def test_stored_blocks_of_a_truncated_member_give_each_record_once():
+    parts, last = random_records(4, 2000, 11), warc.gzip_member(warc.make_record("u", "last", b"x", None))
+    packer = zlib.compressobj(0, zlib.DEFLATED, 31)  # stored: the records stand in the archive as they are
+    member = packer.compress(b"".join(parts)) + packer.flush()
+    cut_off = member[: len(member) - len(parts[3]) // 2]
+    for data, tail in ((cut_off, []), (cut_off + last, ["last"])):
+        assert ids(data) == [warc.record_id(i, 0) for i in range(3)] + tail
+        assert [x[:2] for x in gaps(data)] == [(0, len(cut_off))]
+
+
+def test_digests_prove_records_of_a_member_with_a_wrong_crc():
+    parts, last = random_records(3, 1000, 12), warc.gzip_member(warc.make_record("u", "last", b"x", None))
+    member = warc.gzip_member(b"".join(parts))
+    for damage in (b"\0\0\0\0", bytes(b ^ 0xFF for b in member[-8:-4])):
+        data = member[:-8] + damage + member[-4:] + last
+        assert ids(data) == [warc.record_id(i, 0) for i in range(3)] + ["last"] and [x[:2] for x in gaps(data)] == [(0, len(member))]
+    bad = bytearray(b"".join(parts))
+    bad[len(parts[0]) + 500] ^= 1
+    crc = warc.gzip_member(b"".join(parts))[-8:-4]
+    damaged = warc.gzip_member(bytes(bad))
+    assert ids(damaged[:-8] + crc + damaged[-4:]) == [warc.record_id(i, 0) for i in (0, 2)]
+
+
+def test_version_lines_without_a_blank_line_take_linear_time():
+    last = warc.make_record("u", "last", b"x", None)
+    for filler in (b"WARC/1.1\r\n", b"WARC/1.1\r\nA: b\r\n", b"x WARC/1.1\r\n"):
+        for pack in (bytes, warc.gzip_member):
+            began = time.time()
+            assert ids(pack(filler * 100_000 + b"\r\n" + last)) == ["last"]
+            assert ids(pack(filler * 100_000)) == []
+            assert time.time() - began < 4
