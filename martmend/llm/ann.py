@@ -7,12 +7,13 @@ queue holds branches of all trees by the smallest margin on their path; leaves a
 found. Queries and vectors meet by blocks of leaves; a block is cut into parts so that its size stays bounded as the table
 grows, and only a query's best of a block leave it. The forest's size is bounded by the sample.
 
-Vectors of one direction (to ``PLACES`` decimal places) are one class, of which the ``k`` + 1 smallest ids are kept with their
-own vectors: no result can need more. So a direction that is repeated many times costs as much as one that is not. Cosines that
-agree to ``PLACES`` places are ties, and no cut is made inside a tie.
+Vectors of one direction (their components agree to ``PLACES`` decimal places, that is to a few units in the last place of a
+double) are one class, of which the ``k`` + 1 smallest ids are kept with their own vectors: no result can need more. So a direction
+that is repeated many times costs as much as one that is not. Candidates are cut by (cosine, smallest id of the class), so what
+leaves a leaf is bounded however many classes tie, and ranked by their cosine in double precision, equal ones by id.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite components take no
-part, nor do rows without an id; rows that repeat id and vector count once; ties go to the smaller id; with fewer than k
+part, nor do rows without an id; rows that repeat id and vector count once; ties go to the smaller id; other columns are ignored; with fewer than k
 candidates all are returned; an empty table has no results.
 """
 
@@ -31,8 +32,8 @@ from .common import cut
 TREES, LEAVES, SAMPLE, LEAF = 8, 640, 20_000, 12
 #: Leaves in a block, and vectors of a block beyond which it is cut into parts.
 BLOCK, PART = 128, 32_768
-#: Decimal places to which directions and cosines are told apart.
-PLACES = 12
+#: Decimal places to which directions are told apart, and how far two ways to compute a cosine may differ.
+PLACES, SLACK = 15, 1e-14
 
 
 def usable(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -143,7 +144,7 @@ def nearest(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embeddi
                 continue
             at, n = forest.leaves_of(_units(batch.column(1))), batch.num_rows
             for t in range(at.shape[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t)), pa.array(at[:, t] // BLOCK), pa.array(at[:, t]), *batch.columns], ["tree", "block", "leaf", "c", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t)), pa.array(at[:, t] // BLOCK), pa.array(at[:, t]), *batch.columns], ["tree", "block", "leaf", "c", "v", "least"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest.of(shared.value)
@@ -164,28 +165,34 @@ def nearest(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embeddi
             ql, qrow = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
             qid, cid = queries.column("q").to_numpy(), vectors.column("c").to_numpy()
             qn, xn = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
+            rank = np.argsort(np.argsort(vectors.column("least").to_numpy(), kind="stable"))
             for leaf in np.intersect1d(ql, xl):
                 a, b = qrow[ql == leaf], np.flatnonzero(xl == leaf)
                 cosine = (q[a] @ x[b].T) / (qn[a][:, None] * xn[b][None, :])
-                # The k + 1 best classes and all that tie with the last of them.
-                last = -np.partition(-cosine, k, axis=1)[:, k] if cosine.shape[1] > k + 1 else np.full(len(a), -np.inf)
-                i, j = np.nonzero(cosine >= last[:, None] - 10.0**-PLACES)
+                if cosine.shape[1] > k + 1:
+                    # What is surely above the last of the k + 1 best, and of those that may tie with it the k + 1 with the smallest ids.
+                    last = -np.partition(-cosine, k, axis=1)[:, k : k + 1]
+                    order = np.where(np.abs(cosine - last) <= SLACK, rank[b][None, :], np.where(cosine > last, -1, len(rank)))
+                    best = np.argsort(order, axis=1, kind="stable")[:, : 2 * k + 1]
+                    i, j = np.nonzero(np.take_along_axis(order, best, 1) < len(rank))
+                    j = best[i, j]
+                else:
+                    i, j = np.nonzero(cosine >= -2)
                 out[0].append(qid[a][i])
                 out[1].append(cid[b][j])
                 out[2].append(cosine[i, j])
         return pa.table([np.concatenate(c) for c in out], ["q", "c", "score"])
 
-    index = held.select("c", "v").mapInArrow(place, "tree long, block long, leaf long, c long, v array<double>").withColumn("part", F.pmod(F.xxhash64("c"), F.lit(parts)))
+    index = held.select("c", "v", F.get("members", 0)["vec_id"].alias("least")).mapInArrow(place, "tree long, block long, leaf long, c long, v array<double>, least long").withColumn("part", F.pmod(F.xxhash64("c"), F.lit(parts)))
     asked = rows.where(is_query(F.col("vec_id"))).distinct().mapInArrow(ask, "tree long, block long, leaves array<long>, q long, v array<double>").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     keys = ["tree", "block", "part"]
     met = asked.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInArrow(score, "q long, c long, score double")
-    near = F.round("score", PLACES)
-    best = Window.partitionBy("q").orderBy(F.desc(near), "least")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "least")
     found = met.groupBy("q", "c").agg(F.max("score").alias("score")).join(held.select("c", "members", F.get("members", 0)["vec_id"].alias("least")), "c")
-    # Of k + 1 classes each has an id, so they hold the k nearest besides the query itself.
-    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("q", F.explode("members").alias("m")).select("q", F.col("m.vec_id").alias("vec_id"), F.col("m.v").alias("v")).where("q <> vec_id")
+    # Of k + 1 classes each has an id, so they hold the k nearest besides the query itself; as many more where the last places differ.
+    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= 2 * k + 2).select("q", F.explode("members").alias("m")).select("q", F.col("m.vec_id").alias("vec_id"), F.col("m.v").alias("v")).where("q <> vec_id")
     asking = rows.where(is_query(F.col("vec_id"))).distinct().select(F.col("vec_id").alias("q"), F.col("v").alias("w"))
     # An id that stands with several vectors counts by its nearest.
     scored = found.join(asking, "q").select("q", "vec_id", cosine("v", "w").alias("score")).groupBy("q", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("q").orderBy(F.desc(near), "vec_id")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", "vec_id", "score")
