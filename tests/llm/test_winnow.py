@@ -2,6 +2,9 @@
 
 import hashlib
 
+import regex
+import xxhash
+
 from pyspark.sql import functions as F
 
 from martmend.llm import queries, winnow
@@ -47,3 +50,43 @@ def test_query(spark):
         alike.append(got[d.doc_id].near_edited)
         following.append(got[d.doc_id].near_next)
     assert sum(alike) / len(alike) > 0.2 > 0.05 > sum(following) / len(following)
+
+
+def plain_marks(text):
+    """[(hash, position)] of a text: k-grams hashed one after the other, the least of each window, the rightmost of equal ones."""
+    if not text:
+        return []
+    units = regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{L}\p{N}]{1,8}", text.lower()) or [text]
+    hashes = []
+    for i in range(max(1, len(units) - winnow.K + 1)):
+        seed = 42
+        for u in units[i : i + winnow.K] if len(units) >= winnow.K else units:
+            seed = xxhash.xxh64_intdigest(u.encode(), seed=seed)
+        signed = seed - 2**64 if seed >= 2**63 else seed
+        hashes.append(signed >> winnow.PLACES)
+    out = []
+    for i in range(max(1, len(hashes) - winnow.W + 1)):
+        window = hashes[i : i + winnow.W]
+        at = max(j for j, h in enumerate(window) if h == min(window))
+        if (mark := (window[at], i + at)) not in out:
+            out.append(mark)
+    return out
+
+
+def plain_text(marks):
+    return " ".join(f"{h & (1 << 36) - 1:X}:{i}" for h, i in marks)
+
+
+def test_query_against_a_plain_version(spark):
+    got = {r.doc_id: r for r in queries.op9_winnow(spark, "/root/testdata/sf0.001").collect()}
+    docs = sorted(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect(), key=lambda r: r.doc_id)
+    texts = [d.text or "" for d in docs]
+    marks = [plain_marks(t) for t in texts]
+    for i, d in enumerate(docs):
+        nxt, half = (i + 1) % len(docs), len(texts[i]) // 2
+        edited = plain_marks(texts[i][: len(texts[i]) - half] + texts[nxt][:half])
+        row = got[d.doc_id]
+        assert row.fingerprint == plain_text(marks[i]) and row.edited_fingerprint == plain_text(edited)
+        for likeness, other in ((row.near_edited, edited), (row.near_next, marks[nxt])):
+            a, b = {h for h, _ in marks[i]}, {h for h, _ in other}
+            assert abs(likeness - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-12
