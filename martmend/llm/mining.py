@@ -39,7 +39,6 @@ BLOCK, PARTITION, GROUP, PART, CHUNK = 256, 8_192, 8, 64, 1_024
 BITS, FIRST = 4, 2
 LOWEST = -(2**62)
 BLOCKS = "group long, block long, dim int, ids array<long>, labels array<long>, v binary, lo binary, hi binary"
-STREAM = "group long, part long, kind int, place long, dim int, ids array<long>, labels array<long>, v binary, lo binary, hi binary, windows array<long>"
 
 
 def pack(values: np.ndarray) -> bytes:
