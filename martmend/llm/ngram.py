@@ -9,12 +9,12 @@ result is exact up to collisions of 64-bit hashes.
    that two linked sets must share one) and a few minima of remixed prefix shingles. Equal sets are one set from here on.
 3. Groups: sets that share a minimum are compared with the most common of them; linked ones form a group.
 4. The matrix has the shingles of the groups' prefixes; shingles of one group only are left out. Groups that share a shingle,
-   at places, with sizes and with sketches that allow a link, are candidates; the pair of sets that share it is compared
-   first, which joins most groups that belong together. Sketches bound the difference of two sets from below, so a family of
-   copies that are too far apart to link makes few candidates.
-5. For those still apart, each group's token union is stored as (group, token) rows. The overlap of a set with a union
-   bounds its overlap with every member; only groups that reach the needed overlap are opened, and all their members of
-   a possible size compared.
+   at places, with sizes and with sketches that allow a link, are candidates. Sketches bound the difference of two sets from
+   below, so a family of copies that are too far apart to link makes few candidates.
+5. Each candidate group's token union is stored as (group, token) rows. The overlap of a set with a union bounds its overlap with
+   every member; only groups that reach the needed overlap are opened. The set that met a group is compared with the member
+   that it met first, which joins most groups that belong together.
+6. For groups still apart the other sets ask, too, and all members of a possible size of the groups that they open are compared.
 
 Hot minima are reduced to one set each and joined by plain equi-joins whose hot partitions Spark splits; hot shingles of several
 groups are dealt out by salts, in each of which a task compares ``SALTED`` or so entries with all others, which takes time in
@@ -266,22 +266,48 @@ def matrix_pairs(entries: DataFrame, sketches: DataFrame, percent: int = PERCENT
     return sorted_rows.mapInArrow(scan, "ga long, gb long, a long, b long").groupBy("ga", "gb").agg(F.min_by("a", F.struct("a", "b")).alias("a"), F.min_by("b", F.struct("a", "b")).alias("b"))
 
 
+def tokens_of(held: DataFrame, words: int = WORDS) -> DataFrame:
+    """(sid, token): a row for each shingle of the sets in held (sid, text)."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, s in zip(batch.column(0).to_pylist(), sets(batch.column(1), words), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(s.view(np.int64))], ["sid", "token"])
+
+    return held.mapInArrow(spread, "sid long, token long")
+
+
+def qualifying(queries: DataFrame, inside: DataFrame, tokens: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, gb, na) of the queries (a, na, gb) whose overlap with the token union of the group gb is as large as a link with any member needs.
+
+    inside: b, gb and nb of the groups' members. Unions are (group, token) rows, and overlaps are added up for each set and group, so
+    neither a union nor the queries of a group are ever in one task as a whole.
+    """
+    union = inside.select(F.col("b").alias("sid"), "gb").join(tokens, "sid").select("gb", "token").distinct()
+    asked = queries.select(F.col("a").alias("sid"), "gb", "na").join(tokens, "sid").join(union, ["gb", "token"])
+    return asked.groupBy(F.col("sid").alias("a"), "gb", "na").agg(F.count(F.lit(1)).alias("overlap")).where(100 * F.col("overlap") >= percent * F.col("na")).drop("overlap")
+
+
+def open_met(near: DataFrame, members: DataFrame, docs: DataFrame, signed: DataFrame, percent: int = PERCENT, **names: str) -> DataFrame:
+    """Links (a, b) of near (ga, gb, a, b): a against the token union of gb, then, where the bound allows, against the member that it met."""
+    small = members.select("sid", "g", "n")
+    queries = near.select("a", "gb").distinct().join(small.select(F.col("sid").alias("a"), F.col("n").alias("na")), "a")
+    inside = near.select("gb").distinct().join(small.select(F.col("sid").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb")), "gb")
+    held = fetch_sets(docs, queries.select(F.col("a").alias("sid")).union(inside.select("b")).distinct(), signed, **names)
+    fit = cut(qualifying(queries, inside, tokens_of(held, names.get("words", WORDS)), percent), "ngram-fit")
+    links = cut(compare(near.join(fit, ["a", "gb"]).select("a", "b"), held, percent, names.get("words", WORDS)), "ngram-links")
+    for table in (held, fit):
+        dropped(docs.sparkSession, table)
+    return links
+
+
 def open_groups(pairs: DataFrame, members: DataFrame, docs: DataFrame, signed: DataFrame, percent: int = PERCENT, **names: str) -> DataFrame:
     """Links (a, b) between groups (ga, gb): sets of ga against the token union of gb, then against gb's members where the bound allows."""
     small = members.select("sid", "g", "n")
     queries = pairs.select("ga", "gb").join(small.select(F.col("sid").alias("a"), F.col("g").alias("ga"), F.col("n").alias("na")), "ga")
     inside = pairs.select("gb").distinct().join(small.select(F.col("sid").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb")), "gb")
     held = fetch_sets(docs, queries.select(F.col("a").alias("sid")).union(inside.select("b")).distinct(), signed, **names)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, s in zip(batch.column(0).to_pylist(), sets(batch.column(1), names.get("words", WORDS)), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(s.view(np.int64))], ["sid", "token"])
-
-    rows = held.mapInArrow(spread, "sid long, token long")
-    union = inside.select(F.col("b").alias("sid"), "gb").join(rows, "sid").select("gb", "token").distinct()
-    asked = queries.select(F.col("a").alias("sid"), "gb", "na").join(rows, "sid").join(union, ["gb", "token"])
-    fit = asked.groupBy(F.col("sid").alias("a"), "gb", "na").agg(F.count(F.lit(1)).alias("overlap")).where(100 * F.col("overlap") >= percent * F.col("na"))
+    fit = qualifying(queries, inside, tokens_of(held, names.get("words", WORDS)), percent)
     opened = fit.join(inside, "gb").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") != F.col("b")))
     return compare(opened.select("a", "b"), held, percent, names.get("words", WORDS))
 
@@ -300,9 +326,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     entries = cut(shared_tokens(members), "ngram-entries")
     near = cut(matrix_pairs(entries, signed.where("n > 0").select("sid", "sketch").dropDuplicates(["sid"]), percent), "ngram-near")
     dropped(spark, entries)
-    held = fetch_sets(docs, near.select(F.col("a").alias("sid")).union(near.select("b")).distinct(), signed, **names)
-    more = cut(compare(near.select("a", "b"), held, percent, words), "ngram-links")
-    dropped(spark, held)
+    more = open_met(near, members, docs, signed, percent, **names)
     # Groups of which neither has more than one set are settled; the others may link through other members.
     of = cut(grouped(sids, union(links, more)), "ngram-of")
     old = cut(grouped(sids, links), "ngram-old")

@@ -91,6 +91,71 @@ def test_ngram_join_equals_brute_force(spark):
     assert empty.count() == 0
 
 
+def family(rng, words, n, low, high):
+    base = rng.sample(words, 80)
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for j in rng.sample(range(80), rng.randrange(low, high)):
+            own[j] = rng.choice(words)
+        out.append(" ".join(own))
+    return out
+
+
+def test_opened_groups_carry_the_links_that_minima_miss(spark, monkeypatch):
+    """With a single minimum few sets meet their like at once; the token unions must find the rest, and the result stays exact."""
+    monkeypatch.setattr(ngram, "MINIMA", 1)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [t for _ in range(8) for t in family(rng, words, 14, 1, 4)] + family(rng, words, 30, 2, 5)
+    made: dict[str, set] = {"first": set(), "opened": set(), "asked": set()}
+    met, opened, compare = ngram.open_met, ngram.open_groups, ngram.compare
+
+    def first(pairs, *rest):
+        out = ngram.cut(compare(pairs, *rest), "seen")
+        made["first"] |= {(r.a, r.b) for r in out.collect()}
+        return out
+
+    def through(function):
+        def call(near, *rest, **names):
+            monkeypatch.setattr(ngram, "compare", compare)
+            out = ngram.cut(function(near, *rest, **names), "seen")
+            made["asked"] |= {(r.ga, r.gb) for r in near.select("ga", "gb").collect()}
+            made["opened"] |= {(r.a, r.b) for r in out.collect()}
+            return out
+
+        return call
+
+    monkeypatch.setattr(ngram, "compare", first)
+    monkeypatch.setattr(ngram, "open_met", through(met))
+    monkeypatch.setattr(ngram, "open_groups", through(opened))
+    got = {r.doc_id: r.component_id for r in ngram.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for x in range(len(texts)):
+        for y in range(x):
+            if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                ra, rb = sorted((root(x), root(y)))
+                parent[rb] = ra
+    assert got == {i: root(i) for i in range(len(texts))}
+    print({k: len(v) for k, v in made.items()})
+    assert len(made["opened"]) > 2 * len(made["first"]) and not made["opened"] & made["first"]
+
+
+def test_unions_bound_overlaps(spark):
+    tokens = spark.createDataFrame([(1, t) for t in range(10)] + [(2, t) for t in range(5, 15)] + [(3, t) for t in range(8)] + [(9, t) for t in range(90, 99)], "sid long, token long")
+    inside = spark.createDataFrame([(2, 2, 10), (3, 2, 8), (9, 9, 9)], "b long, gb long, nb int")
+    queries_ = spark.createDataFrame([(1, 10, 2), (1, 10, 9)], "a long, na int, gb long")
+    # 1 has 5 tokens of 2 and 8 of 3: all of its ten are in their union, none in 9.
+    assert [(r.a, r.gb) for r in ngram.qualifying(queries_, inside, tokens).collect()] == [(1, 2)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
