@@ -626,7 +626,7 @@ def paired_events(spark, path):
             feed = work.put(f"feed/{action}", raw_feed(spark, path).where(F.col("action") == action).withColumn("at", at).coalesce(1))
         log = batchlog.BatchLog(spark, f"{work.path}/log", project="orders_mart")
         stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{work.path}/feed")
-        log.consume_paired(stream, f"{work.path}/checkpoint", "orders_stream", "at", "1 hour", model="orders").awaitTermination()
+        log.consume_paired(stream, f"{work.path}/checkpoint", "orders_stream", "at", "1 hour", model="orders", partitions=spark.sparkContext.defaultParallelism).awaitTermination()
         return settled(log.events().select(*_STORED))
 
 

@@ -222,11 +222,12 @@ class BatchLog:
 
         return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def consume_paired(self, stream: DataFrame, checkpoint: str, name: str, event_time: str, lateness: str, model: str = "", provider: str = "", require: tuple[str, ...] = (cdc.DELETE, cdc.KEY_CHANGE)) -> StreamingQuery:
+    def consume_paired(self, stream: DataFrame, checkpoint: str, name: str, event_time: str, lateness: str, model: str = "", provider: str = "", require: tuple[str, ...] = (cdc.DELETE, cdc.KEY_CHANGE), partitions: int | None = None) -> StreamingQuery:
         """Like ``consume``, for feeds in which the two records of an update may come in different micro-batches.
 
         The halves wait for each other in the state of a stream-stream join, up to ``lateness``. A half that stays alone goes to
-        the leftovers, and a batch of its own with the suffix -unpaired tells so as FAILED.
+        the leftovers, and a batch of its own with the suffix -unpaired tells so as FAILED. The state has ``partitions`` partitions, by
+        default as many as shuffles; a checkpoint keeps its number.
         """
 
         def take(batch: DataFrame, number: int) -> None:
@@ -236,7 +237,14 @@ class BatchLog:
                 self._take_paired(rows.where("operation is not null"), batch_id, name, model, provider, require)
                 self._take_leftovers(rows.where("operation is null"), f"{batch_id}-unpaired", name)
 
-        return cdc.paired_stream(stream, name, event_time, lateness).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        writer = cdc.paired_stream(stream, name, event_time, lateness).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        setting = "spark.sql.shuffle.partitions"
+        held = self.spark.conf.get(setting)
+        try:  # a stream takes the session's settings when it starts
+            self.spark.conf.set(setting, str(partitions or held))
+            return writer.start()
+        finally:
+            self.spark.conf.set(setting, held)
 
     def _take_paired(self, events: DataFrame, batch_id: str, stream: str, model: str, provider: str, require: tuple[str, ...]) -> None:
         if self._begin(events, batch_id, stream):

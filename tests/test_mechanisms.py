@@ -305,3 +305,12 @@ def test_sketches_merge_and_decide_uniqueness(spark):
     assert rough["day"].estimate == 10 and rough["holed"].nulls == 1 and all(r.rows == 5_000 for r in rough.values()) and abs(rough["pair"].estimate - 2_500) < 250
     got = {r.column_name: (r.near_unique, r.is_unique) for r in checks.unique_columns(df, cols, kept).collect()}
     assert got == {"id": (True, True), "day": (False, False), "pair": (False, False), "holed": (False, False), "twice": (True, False), "text": (True, True)}
+
+
+def test_unused_columns_are_not_read(spark):
+    """What only other columns of a source are good for never reaches a shuffle or the scan."""
+    src, found, before, _ = catalog._left(spark, SF)
+    for df in (before, spec.targeted(catalog.left_mart(catalog.NEW), src, found), found):
+        read = re.findall(r"FileScan parquet [^\n]*orders.parquet[^\n]*ReadSchema: struct<([^>]*)>", plan(df))
+        assert read and all({c.split(":")[0] for c in r.split(",")} <= {"o_orderkey", "o_custkey", "o_totalprice"} for r in read)
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_totalprice", plan(before))
