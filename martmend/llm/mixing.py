@@ -8,7 +8,7 @@ broadcasts it only if it is small.
 
 Defined results: a null source is a source of its own; sources without a target get weight 1 (0 drops a source);
 documents are told apart by id and, for repeated or null ids, also by text, so equal rows are replicated alike; an empty
-table stays empty. A mean of ``MOST`` or more is cut into equal parts below it, and the count is the sum of a Poisson number
+table stays empty; a text of any length is copied whole and only hashed; other columns stay. A mean of ``MOST`` or more is cut into equal parts below it, and the count is the sum of a Poisson number
 for each, drawn from a hash of its own, which is Poisson with the whole mean.
 """
 

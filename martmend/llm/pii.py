@@ -12,7 +12,8 @@ the positions. Patterns are written with possessive repeats and look-behinds so
 stack; they match what the plain patterns match.
 
 Defined results: null is the empty text; spans count code points, ends exclusive; an empty table gives an empty model,
-under which only base spans are found; loose candidates that overlap a base span are dropped.
+under which only base spans are found; loose candidates that overlap a base span are dropped; rows that repeat others are counted
+and scanned like them; a long text is scanned whole; other columns stay, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ beyond the random ones expected there are false reports. The threshold is the lo
 gathered as a histogram of p-values over all rows, of a size fixed by the number of classes and bins. Candidates above the
 threshold that mix letters with digits are reported as ``random``, save where they lie within a span of the fixed patterns.
 
-Defined results: null is the empty text; an empty table has empty results; long texts are scanned whole.
+Defined results: null is the empty text; an empty table has empty results and no thresholds; long texts are scanned whole; rows that
+repeat others are counted and scanned like them; spans that tie in their start follow the order of the kinds; other columns do
+not matter.
 """
 
 from __future__ import annotations

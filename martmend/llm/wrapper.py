@@ -1,7 +1,7 @@
 """HTML extraction by wrapper induction (operator 11): the pages of a host are aligned, what they share is template, what varies
 is content.
 
-A page is read into a tree of block elements, in which siblings of one kind (tag, class words, id and role, without digits) are
+A page is read into a tree of block elements, in which siblings of one kind (tag, class words and role, without digits) are
 folded into one node; the shape of that tree is the page's outline. The distinct outlines of a host are merged into its wrapper
 by simple tree matching: children are aligned in order so that as many nodes as possible match, and nodes without partner
 are put in between. Every node of a page then has its slot in the wrapper. Spark counts on how many different pages of the host
@@ -73,8 +73,8 @@ def marked(label: str) -> bool:
 
 @lru_cache(65_536)
 def _label(tag: str, kind: str | None, name: str | None, role: str | None) -> str:
-    """Tag with classes, id and role, without digits."""
-    words = [f".{w}" for w in sorted(set((kind or "").split()))] + [f"#{w}" for w in (name or "").split()] + [f"@{w}" for w in (role or "").split()]
+    """Tag with classes and role, without digits; an id only if it says what the element is, as most ids name a single element."""
+    words = [f".{w}" for w in sorted(set((kind or "").split()))] + [f"#{w}" for w in (name or "").split() if marked(f"#{w.lower()}")] + [f"@{w}" for w in (role or "").split()]
     return tag + re.sub(r"\d+", "", "".join(words).lower())
 
 

@@ -156,3 +156,12 @@ def test_places_of_many_matches(spark):
     for r in got.values():
         assert all(r.text[s.start : s.end] == s.found for s in [*r.base, *r.loose])
     assert sum(s.kind == "email" for s in got[0].base) == sum(s.kind == "phone" for s in got[0].base) == 3000
+
+
+def test_secrets_of_empty_and_repeated_rows_and_other_columns(spark):
+    empty = frame(spark, []).withColumn("kind", F.lit(1))
+    assert secrets.thresholds(empty) == {} and empty.select(secrets.find(F.col("text"), {}).alias("s")).count() == 0
+    text = "token=abcdefgh AKIA" + "Z" * 16
+    rows = frame(spark, [text, text, None, ""]).withColumn("kind", F.lit("x")).withColumn("start", F.lit(2))
+    got = rows.select("kind", secrets.joined(secrets.find(F.col("text"), secrets.thresholds(rows))).alias("s")).collect()
+    assert [r.s for r in got] == [plain_secrets(text), plain_secrets(text), "", ""] and got[0].kind == "x"

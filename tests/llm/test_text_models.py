@@ -267,3 +267,15 @@ def test_bpe_list_of_common_words_changes_no_ids(spark, ranks, monkeypatch):
     monkeypatch.setattr(bpe, "SAMPLE_ROWS", 10)
     monkeypatch.setattr(bpe, "COMMON_WORDS", 50)
     assert {r.doc_id: r.ids for r in bpe.encode(docs, ranks, public_tokenizers.PATTERN).collect()} == whole
+
+
+def test_languages_of_long_texts_only_are_learned(spark):
+    rng = random.Random(4)
+    tongues = {"a": ["tola", "miro", "sena", "kulo"], "b": ["grab", "stum", "flek", "dorn"]}
+    rows = [(i, " ".join(rng.choices(tongues[k], k=n)), k, 1) for i in range(40) for k, n in (("a", 30), ("b", 400))]
+    df = spark.createDataFrame(rows, "h long, text string, lang string, n int")
+    model = langid.train(df, longest=500, per_language=3)
+    assert set(model) == {"a", "b"} and 3 * 500 <= len(model["b"]) < 3 * 500 + 2500
+    got = df.select("lang", langid.classify(F.col("text"), model).alias("r")).collect()
+    assert all(r.lang == r.r.lang_pred for r in got)
+    assert langid.train(df.limit(0)) == {}

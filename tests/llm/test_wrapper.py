@@ -57,6 +57,7 @@ def test_reader_folds_siblings_and_mends_markup():
     assert outline.split("\n") == ["1 p", "1 ul", "2 li"]
     assert [t for _, t, _ in blocks] == ["One", "Two and a half & three", "x", "y", "tail &am"]
     assert Reader.page(None) == ("", []) and Reader.page("<select><option>a<div><p>b")[1] == []
+    assert Reader.page("<div id=abc>x</div><div id=xyz>y</div><div id=Side-bar>z</div>")[0].split("\n") == ["1 div"] and Reader.page("<div id=Comments>z</div>")[0] == "1 div#comments"
     deep = Reader.page("<div>" * 5000 + "deep" + "</div>" * 5000)
     assert deep[0].count("\n") == wrapper.DEPTH - 1 and deep[1][0][1] == "deep"
 
