@@ -21,7 +21,8 @@ def shared_base(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed and kept in the shared folder, so that it outlives the work tables it was read from; Spark's cleaner removes it."""
+    """df computed and kept in the shared folder, so that it outlives the work tables it was read from; Spark's
+    cleaner removes it where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_base(df.sparkSession))
