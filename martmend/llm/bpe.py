@@ -8,13 +8,14 @@ Flow:
 2. in one stage without a shuffle, the JVM splits each text into words by the tokenizer's pattern;
 3. a task's rows are dictionary-encoded: each row keeps codes, the first row of a batch carries the words that are new in
    the task and not in the list;
-4. the JVM folds the ranked merges over the bytes of those distinct words, looking pairs up in a literal map;
+4. the JVM folds the ranked merges over the bytes of those distinct words, looking pairs up in a map that comes with them: the
+   Python step hands it on from a broadcast, so that the text of no plan has it, and the driver's memory stays small;
 5. the codes are replaced by the ids of their words, batch by batch.
 
 While it is merged, a word is a string with one character for each piece: a byte is the character of its value, a merged
 piece the character of its rank plus 256 (see ``_sign``). The order of such characters is that of the ranks. A second string
 has the merged piece of each pair of neighbours: its least character is the next merge, the first place of it the leftmost
-one, and a merge changes two of its characters. The literal map gives the merged piece of a pair; it is cut into buckets by
+one, and a merge changes two of its characters. The map gives the merged piece of a pair; it is cut into buckets by
 CRC-32, since Spark searches a map from end to end. Its size is that of the vocabulary file and does not grow with the data.
 
 Defined results: null and empty texts have no ids; words of over ``LONG_WORD`` bytes, for which the fold would take
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -194,14 +196,13 @@ def split_words(text: Column, pattern: str) -> Column:
 
 
 def folded(df: DataFrame, pairs: str, news: str, merged: str) -> DataFrame:
-    """df with merged: the words of the array column news after all merges; the map of ``merge_map`` is read once for each row that has words."""
-    # The map is one literal string: as a folded literal of 65,536 maps it would take each task seconds to deserialize. The
-    # empty repetition keeps the optimizer from folding it.
-    table = F.from_json(F.concat(F.lit(pairs), F.repeat(F.lit(" "), F.size(news) * 0)), "array<map<string,string>>")
+    """df with merged: the words of the array column news after all merges, by the map of ``merge_map`` in the column pairs, which is read
+    once for each row that has words; other rows need none."""
+    table = F.from_json(F.col(pairs), "array<map<string,string>>")
     return df.withColumn(merged, F.when(F.size(news) > 0, let(table, lambda t: F.transform(news, lambda w: merged_word(w, t)))).otherwise(F.array().cast("array<string>")))
 
 
-def common_words(df: DataFrame, ranks: dict[bytes, int], pairs: str, pattern: str, text: str = "text") -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+def common_words(df: DataFrame, ranks: dict[bytes, int], pairs: Broadcast, pattern: str, text: str = "text") -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
     """Words and, by their place, the bounds and values of their ids: tokens, and words of the rows with the least hashes."""
     tokens = []
     for piece in ranks:
@@ -219,7 +220,14 @@ def common_words(df: DataFrame, ranks: dict[bytes, int], pairs: str, pattern: st
             break
         least = c
     groups = words.where(F.col("count") >= least).groupBy(F.pmod(F.xxhash64("w"), F.lit(COMMON_GROUPS)).alias("g")).agg(F.collect_list("w").alias("news"))
-    found = folded(groups, pairs, "news", "merged").select("news", "merged").toArrow()
+
+    def with_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([pairs.value])], ["news", "pairs"])
+
+    given = groups.select("news").mapInArrow(with_pairs, "news array<string>, pairs string")
+    found = folded(given, "pairs", "news", "merged").select("news", "merged").toArrow()
     news, merged = (pc.list_flatten(found.column(c)).combine_chunks().cast(pa.string()) for c in ("news", "merged"))
     known = pa.array(tokens, pa.string())
     other = pc.invert(pc.is_in(news, value_set=known))
@@ -231,15 +239,16 @@ def common_words(df: DataFrame, ranks: dict[bytes, int], pairs: str, pattern: st
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with the array column ids: the token ids of each whole text, without special tokens."""
-    words, codes, news, merged = (free_name(df, x) for x in ("words_", "codes_", "news_", "merged_"))
+    words, codes, news, table, merged = (free_name(df, x) for x in ("words_", "codes_", "news_", "pairs_", "merged_"))
     kept = [f for f in df.schema.fields if f.name.lower() != ids.lower()]
     names = [f.name for f in kept]
     k = len(names)
-    pairs = merge_map(ranks)
+    pairs = df.sparkSession.sparkContext.broadcast(merge_map(ranks))
     shared = df.sparkSession.sparkContext.broadcast(common_words(df, ranks, pairs, pattern, text))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Codes instead of words; ``news``: new words that must be merged; a null among them begins a dictionary anew."""
+        """Codes instead of words; ``news``: new words that must be merged; a null among them begins a dictionary anew. The row that has
+        such words has the map of pairs as well."""
         common = shared.value[0]
         seen: dict[str, int] = {}
         for batch in batches:
@@ -248,8 +257,8 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
                 part = batch.slice(a, b - a)
                 n, flat = _list_parts(part.column(k))
                 coded = flat.dictionary_encode()
-                table = pc.fill_null(pc.index_in(coded.dictionary, value_set=common), -1).to_numpy(zero_copy_only=False).copy()
-                other = np.flatnonzero(table < 0)
+                place = pc.fill_null(pc.index_in(coded.dictionary, value_set=common), -1).to_numpy(zero_copy_only=False).copy()
+                other = np.flatnonzero(place < 0)
                 own = coded.dictionary.take(pa.array(other)).to_pylist()
                 fresh: list[str | None] = []
                 if len(seen) > BOOK_WORDS:
@@ -258,10 +267,11 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
                     if w not in seen:
                         seen[w] = len(common) + len(seen)
                         fresh.append(w)
-                table[other] = np.fromiter((seen[w] for w in own), np.int32, len(own))
-                mine = table[coded.indices.to_numpy()] if len(table) else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.ListArray.from_arrays(pa.array(_starts(n), pa.int32()), pa.array(mine, pa.int32())), pa.array([fresh, *[[]] * (b - a - 1)], pa.list_(pa.string()))], [*names, codes, news])
-                del part, flat, coded, mine, table, own
+                place[other] = np.fromiter((seen[w] for w in own), np.int32, len(own))
+                mine = place[coded.indices.to_numpy()] if len(place) else np.zeros(0, np.int32)
+                lookup = pa.array([pairs.value if fresh else None, *[None] * (b - a - 1)], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.ListArray.from_arrays(pa.array(_starts(n), pa.int32()), pa.array(mine, pa.int32())), pa.array([fresh, *[[]] * (b - a - 1)], pa.list_(pa.string())), lookup], [*names, codes, news, table])
+                del part, flat, coded, mine, place, own, lookup
             pa.default_memory_pool().release_unused()
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,8 +294,8 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:k]), pa.ListArray.from_arrays(pa.array(out, pa.int32()), pa.array(values, pa.int32()))], [*names, ids])
             pa.default_memory_pool().release_unused()
 
-    numbered = df.select(*names, split_words(F.col(text), pattern).alias(words)).mapInArrow(number, T.StructType([*kept, T.StructField(codes, T.ArrayType(T.IntegerType())), T.StructField(news, T.ArrayType(T.StringType()))]))
-    return folded(numbered, pairs, news, merged).mapInArrow(replace, T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    numbered = df.select(*names, split_words(F.col(text), pattern).alias(words)).mapInArrow(number, T.StructType([*kept, T.StructField(codes, T.ArrayType(T.IntegerType())), T.StructField(news, T.ArrayType(T.StringType())), T.StructField(table, T.StringType())]))
+    return folded(numbered, table, news, merged).drop(table).mapInArrow(replace, T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:

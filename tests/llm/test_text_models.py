@@ -279,3 +279,9 @@ def test_languages_of_long_texts_only_are_learned(spark):
     got = df.select("lang", langid.classify(F.col("text"), model).alias("r")).collect()
     assert all(r.lang == r.r.lang_pred for r in got)
     assert langid.train(df.limit(0)) == {}
+
+
+def test_bpe_plan_has_no_map_of_pairs(spark, ranks):
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    assert len(encoded._jdf.queryExecution().toString()) < 20_000
