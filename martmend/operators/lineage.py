@@ -15,6 +15,8 @@ from .workspace import Workspace, settled
 GROWTH = 4
 #: Tables of found nodes after which they are made one.
 TABLES = 8
+#: Rows of a partition where a task holds a hash table of them: a file of a few MB may have millions of rows.
+ROWS = 100_000
 
 
 def reach(edges: DataFrame, seeds: DataFrame, rounds: list | None = None) -> DataFrame:
@@ -96,13 +98,18 @@ def derive_routes(columns: DataFrame, edges: DataFrame, unique: DataFrame, key:
     columns: table_name, column_name. unique: the same for columns whose values are unique. One shared unique column is
     VERIFIED, several are AMBIGUOUS, none is UNRESOLVED; the mart's key wins where both tables have it. An edge of a table without
     columns is INVALID.
+
+    All tables are dealt out by key into partitions of about ``ROWS`` rows before anything is grouped or joined, so what a task
+    holds does not grow with them.
     """
+    n = -(-max(columns.count(), edges.count(), 1) // ROWS)
+    columns, edges, unique = columns.repartition(n, "table_name"), edges.repartition(n, "parent", "child"), unique.repartition(n, "column_name")
     up = columns.select(F.col("table_name").alias("parent"), "column_name")
     down = columns.select(F.col("table_name").alias("child"), "column_name")
     shared = edges.join(up, "parent").join(down, ["child", "column_name"])
-    keyed = unique.select(F.col("table_name").alias("t"), F.col("column_name").alias("c")).distinct()
+    keyed = unique.select(F.col("table_name").alias("t"), F.col("column_name").alias("c"))
     good = shared.join(keyed, (F.col("c") == F.col("column_name")) & ((F.col("t") == F.col("parent")) | (F.col("t") == F.col("child"))), "left_semi")
-    found = good.groupBy("parent", "child").agg(F.sort_array(F.collect_set("column_name")).alias("cols"))
+    found = good.repartition(n, "parent", "child").groupBy("parent", "child").agg(F.sort_array(F.collect_set("column_name")).alias("cols"))
     row = edges.join(found, ["parent", "child"], "left").withColumn("cols", F.coalesce("cols", F.array().cast("array<string>")))
     single = F.when(F.array_contains("cols", key), F.lit(key)).when(F.size("cols") == 1, F.get("cols", 0))
     known = columns.select("table_name").distinct()

@@ -150,3 +150,15 @@ def test_chains_of_routes(spark):
     assert {(r.upstream, r.downstream): r.status for r in routes.collect()}[("gone", "c")] == "INVALID"
     got = {r.upstream: (r.status, r.route, r.join_columns) for r in lineage.derive_chains(routes, "c").collect()}
     assert got == {"a": ("AMBIGUOUS", "a -> b -> c", "k, l"), "b": ("VERIFIED", "b -> c", "l"), "e": ("VERIFIED", "e -> c", "l"), "d": ("UNRESOLVED", None, None), "gone": ("INVALID", None, None)}
+
+
+def test_tables_of_routes_are_dealt_out(spark, monkeypatch):
+    columns = spark.range(40).selectExpr("concat('t', id) as table_name", "'k' as column_name")
+    edges = spark.range(1, 40).selectExpr("concat('t', id) as parent", "concat('t', id div 2) as child")
+    want = lineage.derive_routes(columns, edges, columns, "none")
+    monkeypatch.setattr(lineage, "ROWS", 5)
+    got = lineage.derive_routes(columns, edges, columns, "none")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 39
+    # Nothing is grouped in the task that reads a file.
+    leaves = [part.split("Exchange")[0] for part in got._jdf.queryExecution().sparkPlan().toString().split("REPARTITION_BY_NUM")[1:]]
+    assert len(leaves) >= 5 and ", 8), REPARTITION_BY_NUM" in got._jdf.queryExecution().sparkPlan().toString()
