@@ -611,7 +611,7 @@ _STORED = ["event_id", "source_model", "source_relation", "provider_row_id", "op
 def captured_events(spark, path):
     """The event log after a stream over files with the whole feed has been consumed."""
     with Workspace(spark) as work:
-        feed = work.put("feed", raw_feed(spark, path).coalesce(1))
+        feed = work.put("feed", raw_feed(spark, path))
         log = batchlog.BatchLog(spark, f"{work.path}/log", project="orders_mart")
         log.consume(spark.readStream.schema(feed.schema).parquet(f"{work.path}/feed"), f"{work.path}/checkpoint", "orders_stream", model="orders").awaitTermination()
         return settled(log.events().select(*_STORED))
@@ -622,10 +622,10 @@ def paired_events(spark, path):
     """The same log from a feed whose deletes and inserts come in different micro-batches."""
     with Workspace(spark) as work:
         at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("primary_key").cast("bigint") % 600)
-        for action in ("DELETE", "INSERT"):
-            feed = work.put(f"feed/{action}", raw_feed(spark, path).where(F.col("action") == action).withColumn("at", at).coalesce(1))
+        feeds = [work.put(f"feed/{action}", raw_feed(spark, path).where(F.col("action") == action).withColumn("at", at)) for action in ("DELETE", "INSERT")]
+        feed, files = feeds[0], max(len(f.inputFiles()) for f in feeds)
         log = batchlog.BatchLog(spark, f"{work.path}/log", project="orders_mart")
-        stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{work.path}/feed")
+        stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", max(1, files)).option("recursiveFileLookup", True).parquet(f"{work.path}/feed")
         log.consume_paired(stream, f"{work.path}/checkpoint", "orders_stream", "at", "1 hour", model="orders", partitions=spark.sparkContext.defaultParallelism).awaitTermination()
         return settled(log.events().select(*_STORED))
 

@@ -314,3 +314,31 @@ def test_unused_columns_are_not_read(spark):
         read = re.findall(r"FileScan parquet [^\n]*orders.parquet[^\n]*ReadSchema: struct<([^>]*)>", plan(df))
         assert read and all({c.split(":")[0] for c in r.split(",")} <= {"o_orderkey", "o_custkey", "o_totalprice"} for r in read)
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_totalprice", plan(before))
+
+
+def test_no_single_task_writes_a_feed(spark, monkeypatch):
+    from martmend.operators.workspace import Workspace
+
+    parts, put = {}, Workspace.put
+
+    def seen(self, name, df):
+        parts[name] = df.rdd.getNumPartitions()
+        return put(self, name, df)
+
+    class Written(Exception):
+        pass
+
+    def stop(*args, **more):
+        raise Written
+
+    monkeypatch.setattr(Workspace, "put", seen)
+    monkeypatch.setattr(batchlog, "BatchLog", stop)
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        for f in (catalog.captured_events, catalog.paired_events):
+            with pytest.raises(Written):
+                f(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert set(parts) == {"feed", "feed/DELETE", "feed/INSERT"} and min(parts.values()) > 1
