@@ -29,13 +29,13 @@ import base64
 import heapq
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,8 @@ BUCKETS = 65536
 LONG_WORD = 512
 #: Words that are numbered at once, words that are replaced at once, and distinct words of a task after which its dictionary begins anew.
 BATCH_WORDS, PART_WORDS, BOOK_WORDS = 1_500_000, 250_000, 500_000
+#: Bytes of a batch that goes to Python.
+BATCH_BYTES = 16 << 20
 #: The list of common words: rows that it is taken from, most words, most bytes of a word, rows in which they are folded.
 SAMPLE_ROWS, COMMON_WORDS, COMMON_BYTES, COMMON_GROUPS = 12_000, 600_000, 64, 16
 #: Character that stands for a pair that cannot be merged; it comes after all others.
@@ -237,19 +239,32 @@ def common_words(df: DataFrame, ranks: dict[bytes, int], pairs: Broadcast, patte
     return pa.concat_arrays([known, news]), book.first, book.values
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with the array column ids: the token ids of each whole text, without special tokens."""
+def small_batches(spark: SparkSession) -> None:
+    """Batches that Python gets hold at most ``BATCH_BYTES``. Words take several times the bytes of their text, in the JVM's buffers and in Python,
+    and two steps of each task hold a batch at once. The setting is read when a plan runs, so it stays in the session; smaller ones are left alone."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    at_most = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(setting))
+    if not 0 < at_most <= BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", keep: Sequence[str] | None = None) -> DataFrame:
+    """df, or its columns keep, with the array column ids: the token ids of each whole text, without special tokens. What is kept goes through
+    Python and back, so a text that nobody needs any more is better left out."""
+    small_batches(df.sparkSession)
     words, codes, news, table, merged = (free_name(df, x) for x in ("words_", "codes_", "news_", "pairs_", "merged_"))
-    kept = [f for f in df.schema.fields if f.name.lower() != ids.lower()]
+    kept = [f for f in (df if keep is None else df.select(*keep)).schema.fields if f.name.lower() != ids.lower()]
     names = [f.name for f in kept]
     k = len(names)
     pairs = df.sparkSession.sparkContext.broadcast(merge_map(ranks))
-    shared = df.sparkSession.sparkContext.broadcast(common_words(df, ranks, pairs, pattern, text))
+    known, *bounds = common_words(df, ranks, pairs, pattern, text)
+    # Each step is a Python worker of its own and loads only what it reads.
+    shared_words, shared_ids = (df.sparkSession.sparkContext.broadcast(x) for x in (known, tuple(bounds)))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Codes instead of words; ``news``: new words that must be merged; a null among them begins a dictionary anew. The row that has
         such words has the map of pairs as well."""
-        common = shared.value[0]
+        common = shared_words.value
         seen: dict[str, int] = {}
         for batch in batches:
             lengths, _ = _list_parts(batch.column(k))
@@ -275,7 +290,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
             pa.default_memory_pool().release_unused()
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value[1:]
+        common = shared_ids.value
         book = _Book(ranks, common)
         for batch in batches:
             n, flat = _list_parts(batch.column(k))

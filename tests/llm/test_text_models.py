@@ -285,3 +285,20 @@ def test_bpe_plan_has_no_map_of_pairs(spark, ranks):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
     assert len(encoded._jdf.queryExecution().toString()) < 20_000
+
+
+def test_bpe_takes_no_column_that_is_not_kept_through_python(spark, ranks):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(i, f"some words, {i} of them", "en") for i in range(50)] + [(50, None, None)], "doc_id long, text string, lang string")
+    spark.conf.unset(setting)
+    got = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"])
+    assert got.columns == ["doc_id", "ids"] and int(spark.conf.get(setting)) == bpe.BATCH_BYTES
+    steps = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "MapInArrow" in x]
+    assert len(steps) == 2 and not any("text" in x or "lang" in x for x in steps)
+    whole = {r.doc_id: r.ids for r in bpe.encode(docs, ranks, public_tokenizers.PATTERN).collect()}
+    assert {r.doc_id: r.ids for r in got.collect()} == whole
+    # A smaller setting is left alone.
+    spark.conf.set(setting, "1000000")
+    bpe.small_batches(spark)
+    assert spark.conf.get(setting) == "1000000"
+    spark.conf.unset(setting)
