@@ -46,8 +46,8 @@ BUCKETS = 65536
 LONG_WORD = 512
 #: Words that are numbered at once, words that are replaced at once, and distinct words of a task after which its dictionary begins anew.
 BATCH_WORDS, PART_WORDS, BOOK_WORDS = 1_500_000, 250_000, 500_000
-#: Bytes of a batch that goes to Python.
-BATCH_BYTES = 16 << 20
+#: Bytes of a batch that goes to Python. ``BATCH_WORDS`` words of several batches are handed on together.
+BATCH_BYTES = 4 << 20
 #: The list of common words: rows that it is taken from, most words, most bytes of a word, rows in which they are folded.
 SAMPLE_ROWS, COMMON_WORDS, COMMON_BYTES, COMMON_GROUPS = 12_000, 600_000, 64, 16
 #: Character that stands for a pair that cannot be merged; it comes after all others.
@@ -266,28 +266,48 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
         such words has the map of pairs as well."""
         common = shared_words.value
         seen: dict[str, int] = {}
+        fresh: list[str | None] = []
+        held: list[list[pa.Array]] = []
+        words_held = 0
+
+        def given_on() -> Iterator[pa.RecordBatch]:
+            """What is held; its first row has all new words. A map of pairs is dear to read, so several small batches share one."""
+            for i, columns in enumerate(held):
+                rest = [None] * (len(columns[-1]) - 1)
+                new = fresh if not i else []
+                lookup = pa.array([pairs.value if new else None, *rest], pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([new, *[[]] * len(rest)], pa.list_(pa.string())), lookup], [*names, codes, news, table])
+            held.clear()
+            fresh.clear()
+
         for batch in batches:
             lengths, _ = _list_parts(batch.column(k))
             for a, b in _cuts(lengths, BATCH_WORDS):
                 part = batch.slice(a, b - a)
                 n, flat = _list_parts(part.column(k))
+                if words_held + len(flat) > BATCH_WORDS or len(seen) > BOOK_WORDS:
+                    yield from given_on()
+                    words_held = 0
+                if len(seen) > BOOK_WORDS:
+                    seen = {}
+                    fresh.append(None)
                 coded = flat.dictionary_encode()
                 place = pc.fill_null(pc.index_in(coded.dictionary, value_set=common), -1).to_numpy(zero_copy_only=False).copy()
                 other = np.flatnonzero(place < 0)
                 own = coded.dictionary.take(pa.array(other)).to_pylist()
-                fresh: list[str | None] = []
-                if len(seen) > BOOK_WORDS:
-                    seen, fresh = {}, [None]
                 for w in own:
                     if w not in seen:
                         seen[w] = len(common) + len(seen)
                         fresh.append(w)
                 place[other] = np.fromiter((seen[w] for w in own), np.int32, len(own))
                 mine = place[coded.indices.to_numpy()] if len(place) else np.zeros(0, np.int32)
-                lookup = pa.array([pairs.value if fresh else None, *[None] * (b - a - 1)], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.ListArray.from_arrays(pa.array(_starts(n), pa.int32()), pa.array(mine, pa.int32())), pa.array([fresh, *[[]] * (b - a - 1)], pa.list_(pa.string())), lookup], [*names, codes, news, table])
-                del part, flat, coded, mine, place, own, lookup
+                # Copies: a column of the batch would keep all of it, its words, too.
+                rows = pa.array(np.arange(b - a))
+                held.append([*(c.take(rows) for c in part.columns[:k]), pa.ListArray.from_arrays(pa.array(_starts(n), pa.int32()), pa.array(mine, pa.int32()))])
+                words_held += len(flat)
+                del part, flat, coded, place, mine, own
             pa.default_memory_pool().release_unused()
+        yield from given_on()
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared_ids.value

@@ -287,6 +287,25 @@ def test_bpe_plan_has_no_map_of_pairs(spark, ranks):
     assert len(encoded._jdf.queryExecution().toString()) < 20_000
 
 
+def test_small_batches_share_a_map_of_pairs(spark, ranks, monkeypatch):
+    assert bpe.BATCH_BYTES <= 4 << 20
+    setting, passed, folded = "spark.sql.execution.arrow.maxBytesPerBatch", [], bpe.folded
+    monkeypatch.setattr(bpe, "SAMPLE_ROWS", 1)
+    monkeypatch.setattr(bpe, "folded", lambda df, *a: passed.append((df, a)) or folded(df, *a))
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [f"{chr(97 + i % 26)}qzx{chr(97 + i // 26)} some words " * (i % 7) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    spark.conf.set(setting, "2000")
+    try:
+        for r in bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"]).select("doc_id", "ids").collect():
+            assert list(r.ids) == plain.encode_ordinary(texts[r.doc_id])
+        numbered, (pairs, news, _) = passed[-1]
+        given = numbered.select(F.size(news).alias("n"), F.col(pairs).isNotNull().alias("p")).collect()
+        assert len(given) == 300 and sum(r.p for r in given) == 1 and all(r.p == (r.n > 0) for r in given)
+    finally:
+        spark.conf.unset(setting)
+
+
 def test_bpe_takes_no_column_that_is_not_kept_through_python(spark, ranks):
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
     docs = spark.createDataFrame([(i, f"some words, {i} of them", "en") for i in range(50)] + [(50, None, None)], "doc_id long, text string, lang string")
