@@ -6,7 +6,7 @@ Flow:
    table, and handed to the tasks together with the words that are tokens as a whole. This list only spares work: ids do
    not depend on it;
 2. in one stage without a shuffle, the JVM splits each text into words by the tokenizer's pattern;
-3. a task's rows are dictionary-encoded: each row keeps codes, the first row of a batch carries the words that are new in
+3. a task's rows are dictionary-encoded: each row keeps codes, the first row of several batches carries the words that are new in
    the task and not in the list;
 4. the JVM folds the ranked merges over the bytes of those distinct words, looking pairs up in a map that comes with them: the
    Python step hands it on from a broadcast, so that the text of no plan has it, and the driver's memory stays small;
