@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import cut, free_name
 
 #: Means below this are inverted at once; the terms hold their distribution to double precision.
 MOST, TERMS = 9, 64
@@ -59,7 +59,7 @@ def rates(docs: DataFrame, source: str, weights: dict[str, float] | None, size:
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 0, size: float = 1.0, doc_id: str = "doc_id", source: str = "source", text: str = "text", copy: str = "copy_no", place: str = "place") -> DataFrame:
     """docs with each row repeated by its count; copy: its number from 1, place: its place in the global order, in [0, 1)."""
     key = [F.col(doc_id), F.md5(F.coalesce(F.col(text), F.lit("")))]
-    per = rates(docs, source, weights, size)
+    per = cut(rates(docs, source, weights, size), "mixing-rates")  # as a table it has a size: Spark shuffles docs for the join only if it is large
     u = free_name(docs, "u_")
     drawn = docs.withColumn(u, uniform(seed, *key)).join(per, F.col(source).eqNullSafe(F.col("mix_source")), "inner")
     more = F.transform(F.sequence(F.lit(2), F.col("parts")), lambda i: uniform(seed, *key, F.concat(F.lit("part "), i.cast("string"))))

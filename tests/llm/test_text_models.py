@@ -321,3 +321,15 @@ def test_bpe_takes_no_column_that_is_not_kept_through_python(spark, ranks):
     bpe.small_batches(spark)
     assert spark.conf.get(setting) == "1000000"
     spark.conf.unset(setting)
+
+
+def test_mixing_shuffles_no_document_for_the_rates(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "repeat(sha2(string(id), 256), 4) as text", "concat('s', id % 3) as source")
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(setting)
+    spark.conf.set(setting, "64k")
+    try:
+        plan = mixing.replicate(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(setting, held)
+    assert "Exchange hashpartitioning" not in plan
